@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from orderpath.operators.joins import lookup_join
 from orderpath.operators.scan import rank_bin, running_totals
+from orderpath.session import stage_table
 
 MISSING = "MISSING"
 
@@ -74,6 +75,7 @@ def category_bins(df: DataFrame, columns: Sequence[str], target: str) -> DataFra
 
 def weigh_bins(binned: DataFrame, by: str = "variable") -> DataFrame:
     """Add weight of evidence and information value per bin; an empty cell adds 0."""
+    binned = stage_table(binned, "bins")
     totals = binned.groupBy(by).agg(
         F.sum("n_event").alias("_events"), F.sum("n_other").alias("_others")
     )

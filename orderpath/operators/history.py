@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderpath.operators.joins import HEAVY_ROWS, HeavyKeys, heavy_keys, null_safe_join
+from orderpath.operators.joins import HEAVY_ROWS, HeavyKeys, heavy_keys, lookup_join, null_safe_join
 from orderpath.operators.scan import PIECE, ranged_pieces
 from orderpath.session import stage_table
 from orderpath.spec import HistorySpec
@@ -92,6 +92,21 @@ class History:
             return self.ordinary
         return self.ordinary.unionByName(self.long.drop(PIECE))
 
+    def with_totals(self, **totals: Column) -> History:
+        """Add entity-wide aggregates to every row.
+
+        The ordinary route evaluates them as windows on the partitioning at hand. The
+        long route combines partial aggregates and joins the few results back.
+        """
+        entity = Window.partitionBy(self.spec.entity)
+        ordinary = self.ordinary.withColumns({out: c.over(entity) for out, c in totals.items()})
+        if self.long is None:
+            return self._with(ordinary, None)
+        rows = self.long if self._written else stage_table(self.long, "history")
+        table = rows.groupBy(self.spec.entity).agg(*[c.alias(out) for out, c in totals.items()])
+        long = lookup_join(rows, table, [self.spec.entity], spread=self.spec.order_columns)
+        return self._with(ordinary, long)
+
     def aggregate(self, *columns: Column) -> DataFrame:
         """One row per entity. The ordinary route reuses the shuffle of its windows; the
         long route combines partial aggregates, so a long history is not gathered."""
