@@ -25,33 +25,35 @@ def numeric_bins(df: DataFrame, columns: Sequence[str], target: str, bins: int)
     Rows are first combined into distinct values with event counts, and the total sort
     runs on those. ``lower`` is the smallest value of a bin; NULL has its own bin.
     """
+    # A small number stands for the variable until the rows are few: names would make up
+    # most of what is shuffled and compared.
     entries = [
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns
+        F.struct(F.lit(i).alias("_v"), F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(columns, 1)
     ]
     values = (
         df.select(F.col(target).alias("_event"), F.inline(F.array(*entries)))
-        .groupBy("variable", "value")
+        .groupBy("_v", "value")
         .agg(
             F.sum("_event").cast("bigint").alias("n_event"),
             (F.count(F.lit(1)) - F.sum("_event")).cast("bigint").alias("n_other"),
         )
         .withColumn("n", F.col("n_event") + F.col("n_other"))
     )
-    known = running_totals(
-        values.where(F.col("value").isNotNull()), ["variable"], ["value"], {"n": F.col("n")}
+    # NULL keeps a piece of its own in the sort, so one pass serves known and unknown.
+    ranked = running_totals(
+        values.withColumn("_known", F.col("value").isNotNull()), ["_v", "_known"], ["value"], {"n": F.col("n")}
     )
-    binned = known.select(
-        "variable", rank_bin(bins).cast("string").alias("bin"), "value", "n_event", "n_other"
-    ).unionByName(
-        values.where(F.col("value").isNull()).select(
-            "variable", F.lit(MISSING).alias("bin"), "value", "n_event", "n_other"
-        )
-    )
-    return binned.groupBy("variable", "bin").agg(
+    slot = F.when(F.col("_known"), rank_bin(bins).cast("string")).otherwise(F.lit(MISSING))
+    binned = ranked.groupBy("_v", slot.alias("bin")).agg(
         F.min("value").alias("lower"),
         F.sum("n_event").alias("n_event"),
         F.sum("n_other").alias("n_other"),
     )
+    names = F.array(*[F.lit(c) for c in columns])
+    return binned.select(
+        F.element_at(names, F.col("_v")).alias("variable"), "bin", "lower", "n_event", "n_other"
+    )
 
 
 def category_bins(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -79,7 +81,7 @@ def weigh_bins(binned: DataFrame, by: str = "variable") -> DataFrame:
     totals = binned.groupBy(by).agg(
         F.sum("n_event").alias("_events"), F.sum("n_other").alias("_others")
     )
-    joined = lookup_join(binned, totals, [by], spread=["bin"])
+    joined = lookup_join(binned, totals, [by], spread=["bin"], written=True)
     event, other = F.col("n_event") / F.col("_events"), F.col("n_other") / F.col("_others")
     filled = (F.col("n_event") > 0) & (F.col("n_other") > 0)
     woe = F.when(filled, F.log(other / event)).otherwise(F.lit(0.0))
@@ -148,10 +150,11 @@ def cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for a, b in itertools.combinations_with_replacement(columns, 2)
     ]
     pair = ["variable_a", "variable_b"]
-    cells = (
+    cells = stage_table(
         df.select(F.inline(F.array(*pairs)))
         .groupBy(*pair, "level_a", "level_b")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "cells",
     )
     side_a = cells.groupBy(*pair, "level_a").agg(F.sum("n").alias("n_a"))
     side_b = cells.groupBy(*pair, "level_b").agg(F.sum("n").alias("n_b"))
@@ -204,7 +207,8 @@ def _greedy(
     iv: Mapping[str, float], related: Mapping[tuple[str, str], float], iv_min: float, related_max: float
 ) -> list[str]:
     kept: list[str] = []
-    for name in sorted(iv, key=lambda v: (-iv[v], v)):
+    # Values that differ by rounding noise only count as tied.
+    for name in sorted(iv, key=lambda v: (-round(iv[v], 9), v)):
         if iv[name] < iv_min:
             break
         if all(abs(related.get((name, k), related.get((k, name), 0.0))) < related_max for k in kept):

@@ -114,14 +114,15 @@ def lookup_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    written: bool = False,
 ) -> DataFrame:
     """Join a per-group table back to the rows it describes.
 
-    The table is written once and counted. Up to ``max_rows`` it is broadcast, so the
-    facts are not shuffled at all; beyond that both sides are salted, so no group has
-    to fit in one task.
+    The table is written once (unless it is cheap to read: ``written``) and counted. Up
+    to ``max_rows`` it is broadcast, so the facts are not shuffled at all; beyond that
+    both sides are salted, so no group has to fit in one task.
     """
-    table = stage_table(table, "lookup")
+    table = table if written else stage_table(table, "lookup")
     if table.limit(max_rows + 1).count() <= max_rows:
         return facts.join(F.broadcast(table), list(keys), how)
     salted = facts.withColumn("_salt", _salt(spread, salts))

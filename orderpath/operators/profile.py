@@ -50,17 +50,17 @@ def null_profile(df: DataFrame, worst: int | None = None) -> DataFrame:
     return table.orderBy(F.desc("null_share"), "column_name").limit(worst)
 
 
-def _long(df: DataFrame, columns: Sequence[str], kind: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, column_name, value): one narrow row per column."""
-    entries = [
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(kind).alias("value")) for c in columns
-    ]
+def _long(
+    df: DataFrame, columns: Sequence[str], kind: str, name: str, value: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, name, value): one narrow row per column of every row."""
+    entries = [F.struct(F.lit(c).alias(name), F.col(c).cast(kind).alias(value)) for c in columns]
     return df.select(*keys, F.inline(F.array(*entries)))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, extremes, exact quartiles and zeros per numeric column."""
-    long = _long(df, columns, "double")
+    long = _long(df, columns, "double", "column_name", "value")
     value = F.col("value")
     moments = long.groupBy("column_name").agg(
         F.count(value).alias("n"),
@@ -76,20 +76,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def category_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count and share of every value of every category column; NULL is a value."""
-    entries = [
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns
-    ]
-    counted = counts(df.select(F.inline(F.array(*entries))), "column_name", "value")
+    counted = counts(_long(df, columns, "string", "column_name", "value"), "column_name", "value")
     rows = df.count()
     return counted.withColumn("share", F.col("n") / F.lit(max(rows, 1)))
 
 
 def crossed_counts(df: DataFrame, by: Sequence[str], state: str) -> DataFrame:
     """Attribute x state counts for several attributes in one pass."""
-    entries = [
-        F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("level")) for c in by
-    ]
-    return counts(df.select(state, F.inline(F.array(*entries))), "attribute", "level", state)
+    return counts(_long(df, by, "string", "attribute", "level", [state]), "attribute", "level", state)
 
 
 def nested_counts(df: DataFrame, outer: str, inner: str, state: str) -> DataFrame:
@@ -106,11 +100,11 @@ def box_statistics(df: DataFrame, by: str, measures: Sequence[str]) -> DataFrame
 
     Works on distinct values with counts. Quartiles have one row per (measure, group).
     """
-    long = _long(df, measures, "double", keys=[by]).withColumnRenamed("column_name", "measure")
+    long = _long(df, measures, "double", "measure", "value", [by])
     keys = ["measure", by]
     ranked = stage_table(ranked_values(long, keys, "value"), "ranked")
     quartiles = quantiles_of_ranked(ranked, keys, "value", QUARTILES)
-    fenced = lookup_join(ranked, quartiles, keys, spread=["value"], how="inner")
+    fenced = lookup_join(ranked, quartiles, keys, spread=["value"], how="inner", written=True)
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - reach, F.col("q3") + reach
     value, n = F.col("value"), F.col("n")
@@ -183,29 +177,16 @@ def state_columns(df: DataFrame, segment: str, state: str, levels: Sequence[str]
 def balance_report(matrix: DataFrame, period: str, columns: Sequence[str]) -> DataFrame:
     """Share of the periods, and of every level of the given columns inside a period."""
     split = with_share(counts(matrix.select(F.col(period).alias("level")), "level"))
-    entries = [
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in columns
-    ]
-    inside = with_share(
-        counts(
-            matrix.select(F.col(period).alias("period"), F.inline(F.array(*entries))),
-            "period",
-            "variable",
-            "level",
-        ),
-        "period",
-        "variable",
-    )
+    renamed = matrix.withColumnRenamed(period, "period")
+    long = _long(renamed, columns, "string", "variable", "level", ["period"])
+    inside = with_share(counts(long, "period", "variable", "level"), "period", "variable")
     return split.select(
         F.lit("ALL").alias("period"), F.lit("period").alias("variable"), "level", "n", "share"
     ).unionByName(inside)
 
 
 def distinct_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    entries = [
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level")) for c in columns
-    ]
-    return df.select(F.inline(F.array(*entries))).distinct()
+    return _long(df, columns, "string", "column_name", "level").distinct()
 
 
 def lump_rare(df: DataFrame, column: str, keep: int = 20, other: str = "OTHER") -> DataFrame:

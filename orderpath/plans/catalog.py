@@ -19,6 +19,7 @@ from orderpath.operators import profile as P
 from orderpath.operators.history import History
 from orderpath.operators.joins import heavy_keys
 from orderpath.plans import matrices as X
+from orderpath.session import stage_table
 from orderpath.sources import tables as S
 from orderpath.spec import EVENTS, ORDERS
 
@@ -131,9 +132,20 @@ class Tables:
         return X.customer_binary_matrix(self.full, ORDERS, heavy=self.heavy)
 
     @cached_property
-    def binary_train(self) -> DataFrame:
-        """Training rows of the binary order matrix, rounded, with rare routes lumped."""
-        matrix = tidy(self.order_matrix("binary"))
+    def binary_matrix(self) -> DataFrame:
+        """The binary order matrix, rounded so that its equal values stay equal in SQL."""
+        return tidy(self.order_matrix("binary"))
+
+    def binary_train(self, *columns: str) -> DataFrame:
+        return self.binary_matrix.where(F.col("period") == "TRAIN").select(*columns)
+
+    def lumped_train(self, *columns: str) -> DataFrame:
+        """Training rows with rare routes lumped.
+
+        Written once: the matrix costs a shuffle of all orders, and the association
+        statistics read it several times.
+        """
+        matrix = stage_table(self.binary_matrix.select(*columns, "period"), "matrix")
         return P.lump_rare(matrix, "route_id", 20, OTHER_ROUTE).where(F.col("period") == "TRAIN")
 
     @cached_property
@@ -312,12 +324,8 @@ def q_group_means(t: Tables) -> DataFrame:
     train = rows.where(
         (F.col("_position") > 1) & code.isNotNull() & (C.split_label(F.col("order_date"), ORDER_CUTOFF) == "TRAIN")
     )
-    # Both groups in one pass over the rows.
-    levels = [
-        F.struct(F.lit(c).alias("group_name"), F.col(c).alias("level")) for c in ("agency_id", "route_id")
-    ]
-    flagged = train.select(F.when(code.isin(2, 3), 1).otherwise(0).alias("flag"), F.inline(F.array(*levels)))
-    return tidy(flagged.groupBy("group_name", "level").agg(F.avg("flag").alias("digital_share")))
+    shares = X.group_means(train, list(X.GROUP_SHARES), F.when(code.isin(2, 3), 1).otherwise(0))
+    return tidy(shares.withColumnRenamed("share", "digital_share"))
 
 
 def q_encoding_join(t: Tables) -> DataFrame:
@@ -408,27 +416,30 @@ def q_levels(t: Tables) -> DataFrame:
 
 
 def q_iv(t: Tables) -> DataFrame:
-    return tidy(A.information_value(t.binary_train, NUMERIC_COLUMNS, X.ATTRIBUTES, "target"))
+    train = t.lumped_train(*NUMERIC_COLUMNS, *X.ATTRIBUTES, "target")
+    return tidy(A.information_value(train, NUMERIC_COLUMNS, X.ATTRIBUTES, "target"))
 
 
 def q_pearson(t: Tables) -> DataFrame:
-    return tidy(A.pearson_matrix(t.binary_train, CORRELATED))
+    return tidy(A.pearson_matrix(t.binary_train(*CORRELATED), CORRELATED))
 
 
 def q_cramers(t: Tables) -> DataFrame:
-    return tidy(A.cramers_v(t.binary_train, X.ATTRIBUTES))
+    return tidy(A.cramers_v(t.lumped_train(*X.ATTRIBUTES), X.ATTRIBUTES))
 
 
 def q_select_numeric(t: Tables) -> DataFrame:
-    return tidy(A.select_numeric(t.binary_train, NUMERIC_COLUMNS, "target", iv_min=0.0005, corr_max=0.4))
+    train = stage_table(t.binary_train(*NUMERIC_COLUMNS, "target"), "matrix")
+    return tidy(A.select_numeric(train, NUMERIC_COLUMNS, "target", iv_min=0.0005, corr_max=0.4))
 
 
 def q_select_categorical(t: Tables) -> DataFrame:
-    return tidy(A.select_categorical(t.binary_train, X.ATTRIBUTES, "target", iv_min=0.0005, v_max=0.5))
+    train = t.lumped_train(*X.ATTRIBUTES, "target")
+    return tidy(A.select_categorical(train, X.ATTRIBUTES, "target", iv_min=0.0005, v_max=0.5))
 
 
 def q_vif(t: Tables) -> DataFrame:
-    return tidy(A.variance_inflation(t.binary_train, VIF_PAIR))
+    return tidy(A.variance_inflation(t.binary_train(*VIF_PAIR), VIF_PAIR))
 
 
 def q_class_weights(t: Tables) -> DataFrame:
@@ -481,7 +492,8 @@ def _customer_periods(matrix: DataFrame) -> DataFrame:
 
 
 def q_woe(t: Tables) -> DataFrame:
-    matrix = tidy(_customer_periods(t.customers))
+    columns = ["customer_id", *WOE_VARIABLES, "target", "period"]
+    matrix = stage_table(tidy(_customer_periods(t.customers).select(*columns)), "matrix")
     encoder = WoeEncoder.fit(matrix.where(F.col("period") == "TRAIN"), WOE_VARIABLES, "target")
     return tidy(
         encoder.transform(matrix, ["customer_id"]).select("customer_id", *[f"{v}_woe" for v in WOE_VARIABLES])
@@ -500,7 +512,8 @@ def evaluation(scored: DataFrame, target: str, scores: Mapping[int, str], by: st
 
 
 def q_woe_logistic(t: Tables) -> DataFrame:
-    matrix = _customer_periods(t.customers)
+    columns = ["customer_id", *WOE_VARIABLES, "target", "period"]
+    matrix = stage_table(_customer_periods(t.customers).select(*columns), "matrix")
     fitted = fit_woe_logistic(matrix.where(F.col("period") == "TRAIN"), WOE_VARIABLES, "target", ["customer_id"])
     scored = fitted.transform(matrix, ["customer_id"]).withColumn("score_0", 1 - F.col("score"))
     return evaluation(scored, "target", {0: "score_0", 1: "score"})
@@ -511,7 +524,8 @@ def _boost(settings: BoostSettings, trees: int) -> BoostSettings:
 
 
 def _customer_model(t: Tables):
-    matrix = _customer_periods(t.customers)
+    # Read for fitting and again for scoring.
+    matrix = stage_table(_customer_periods(t.customers), "matrix")
     model = fit_boosted(
         matrix.where(F.col("period") == "TRAIN"),
         "target",
@@ -527,13 +541,26 @@ def q_boosted_binary(t: Tables) -> DataFrame:
     return model.transform(matrix).select("customer_id", "period", "target", "prediction", F.col("score_1").alias("score"))
 
 
+def q_boosted_binary_eval(t: Tables) -> DataFrame:
+    matrix, model = _customer_model(t)
+    return evaluation(model.transform(matrix), "target", model.score_columns())
+
+
+def q_boosted_segments(t: Tables) -> DataFrame:
+    """The fitted model per maturity level on the test customers."""
+    matrix, model = _customer_model(t)
+    test = matrix.where((F.col("period") == "TEST") & F.col("maturity").isNotNull())
+    # Scoring fills missing categories, so the segment is the value it saw.
+    return evaluation(model.transform(test), "target", model.score_columns(), "maturity")
+
+
 def q_importance(t: Tables) -> DataFrame:
     matrix, model = _customer_model(t)
     return model.importance(matrix)
 
 
 def _class_model(t: Tables, settings: BoostSettings) -> DataFrame:
-    matrix = t.order_matrix("transition")
+    matrix = stage_table(t.order_matrix("transition"), "matrix")
     model = fit_boosted(
         matrix.where(F.col("period") == "TRAIN"),
         "target",
@@ -553,7 +580,7 @@ def q_boosted_classes_alt(t: Tables) -> DataFrame:
 
 
 def q_boosted_customer_classes(t: Tables) -> DataFrame:
-    matrix = _customer_periods(X.customer_transition_matrix(t.full, heavy=t.heavy))
+    matrix = stage_table(_customer_periods(X.customer_transition_matrix(t.full, heavy=t.heavy)), "matrix")
     model = fit_boosted(
         matrix.where(F.col("period") == "TRAIN"),
         "target",
@@ -707,6 +734,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "woe_transform": q_woe,
     "woe_logistic": q_woe_logistic,
     "boosted_binary": q_boosted_binary,
+    "boosted_binary_eval": q_boosted_binary_eval,
+    "boosted_segment_eval": q_boosted_segments,
     "boosted_multiclass": q_boosted_classes,
     "boosted_multiclass_alt": q_boosted_classes_alt,
     "boosted_customer_multiclass": q_boosted_customer_classes,

@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orderpath.functions import columns as C
 from orderpath.operators.history import BLOCK_ROWS, History
 from orderpath.operators.joins import HEAVY_ROWS, HeavyKeys, dimension_join, lookup_join
+from orderpath.session import stage_table
 from orderpath.spec import ORDERS, HistorySpec
 
 ATTRIBUTES = [
@@ -140,6 +140,8 @@ ORDER_MATRIX_COLUMNS = [
     "tenure_days",
     "order_date",
 ]
+# group column -> its training share of the positive state
+GROUP_SHARES = {"agency_id": "agency_digital_share", "route_id": "route_digital_share"}
 ENCODED_ATTRIBUTES = ["maturity_val", "stars_val", "visit_len"]
 
 
@@ -197,20 +199,30 @@ def order_matrix(
     )
     if target == "binary":
         return matrix
-    flag = F.when(F.col("target").isin(2, 3), 1).otherwise(0)
-    for group, name in (("agency_id", "agency_digital_share"), ("route_id", "route_digital_share")):
-        matrix = lookup_join(
-            matrix,
-            group_means(matrix.where(F.col("period") == "TRAIN"), group, flag, name),
-            [group],
-            spread=["order_id"],
+    shares = stage_table(
+        group_means(
+            matrix.where(F.col("period") == "TRAIN"),
+            list(GROUP_SHARES),
+            F.when(F.col("target").isin(2, 3), 1).otherwise(0),
+        ),
+        "shares",
+    )
+    for group, name in GROUP_SHARES.items():
+        table = shares.where(F.col("group_name") == group).select(
+            F.col("level").alias(group), F.col("share").alias(name)
         )
-    return matrix.select(*ORDER_MATRIX_COLUMNS, *extra, "period", "agency_digital_share", "route_digital_share")
+        matrix = lookup_join(matrix, table, [group], spread=["order_id"], written=True)
+    return matrix.select(*ORDER_MATRIX_COLUMNS, *extra, "period", *GROUP_SHARES.values())
+
 
+def group_means(rows: DataFrame, groups: Sequence[str], flag: Column) -> DataFrame:
+    """(group_name, level, share): mean of a flag per level of several group columns.
 
-def group_means(rows: DataFrame, group: str, flag: Column, name: str) -> DataFrame:
-    """Mean of a flag per group, combined map-side before the shuffle."""
-    return rows.groupBy(group).agg(F.avg(flag).alias(name))
+    One pass over the rows for all of them, combined map-side before the shuffle.
+    """
+    levels = [F.struct(F.lit(g).alias("group_name"), F.col(g).alias("level")) for g in groups]
+    flagged = rows.select(flag.alias("_flag"), F.inline(F.array(*levels)))
+    return flagged.groupBy("group_name", "level").agg(F.avg("_flag").alias("share"))
 
 
 CUSTOMER_ATTRIBUTES = ["country", "sales_region", "customer_type", "maturity", "stars_txt", "visit_code"]

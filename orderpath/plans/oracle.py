@@ -358,9 +358,10 @@ weighed AS (
 
 
 def bins_cte(numeric: list[str], categorical: list[str], source: str, bins: int) -> str:
+    nothing = "SELECT target, CAST(NULL AS VARCHAR) AS variable, NULL AS value FROM {} WHERE FALSE".format(source)
     return f"""
-nums AS ({unpivot(numeric, 'DOUBLE', 'variable', 'value', 'target,', source)}),
-cats AS ({unpivot(categorical, 'VARCHAR', 'variable', 'value', 'target,', source)}),
+nums AS ({unpivot(numeric, 'DOUBLE', 'variable', 'value', 'target,', source) or nothing}),
+cats AS ({unpivot(categorical, 'VARCHAR', 'variable', 'value', 'target,', source) or nothing}),
 slot AS (
   SELECT variable, value, target, CASE WHEN value IS NULL THEN 'MISSING' ELSE CAST(LEAST(
     ((rank() OVER (PARTITION BY variable, value IS NULL ORDER BY value) - 1) * {bins})
@@ -416,6 +417,39 @@ ORDER_COLUMNS = [
     *[(c, "string", "category") for c in CATEGORIES],
 ]
 
+CRAMERS = (
+    "pairs AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS variable_a, '{b}' AS variable_b, COALESCE({a}, 'MISSING') AS la, COALESCE({b}, 'MISSING') AS lb FROM train2"
+        for i, a in enumerate(CATEGORIES)
+        for b in CATEGORIES[i:]
+    )
+    + """), cells AS (SELECT variable_a, variable_b, la, lb, COUNT(*) AS n FROM pairs GROUP BY ALL),
+      sums AS (SELECT *, SUM(n) OVER (PARTITION BY variable_a, variable_b, la) AS na, SUM(n) OVER (PARTITION BY variable_a, variable_b, lb) AS nb FROM cells),
+      q AS (SELECT variable_a, variable_b, SUM(n * n / (na * nb)) AS q, LEAST(COUNT(DISTINCT la), COUNT(DISTINCT lb)) - 1 AS k FROM sums GROUP BY 1, 2),
+      related AS (SELECT variable_a, variable_b, CASE WHEN k > 0 THEN sqrt(GREATEST(q - 1, 0) / k) ELSE 0 END AS v FROM q)"""
+)
+
+
+def greedy_sql(ctes: str, limit: float) -> str:
+    """Walk the variables by falling information value; ``related`` holds pair strengths."""
+    return f"""WITH RECURSIVE {TRAIN2}, {ctes},
+      ivs AS (SELECT variable, ROUND(SUM(iv), 9) AS iv, row_number() OVER (ORDER BY ROUND(SUM(iv), 9) DESC, variable) AS place
+        FROM weighed GROUP BY 1),
+      rivals AS (SELECT a AS variable, list(b) AS list FROM (
+        SELECT variable_a AS a, variable_b AS b, v FROM related UNION ALL SELECT variable_b, variable_a, v FROM related)
+        WHERE abs(v) >= {limit} AND a <> b GROUP BY 1),
+      walk AS (
+        SELECT CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS kept
+        UNION ALL
+        SELECT i.place, CASE WHEN i.iv >= 0.0005 AND NOT list_has_any(w.kept, COALESCE(r.list, CAST([] AS VARCHAR[])))
+          THEN list_append(w.kept, i.variable) ELSE w.kept END
+        FROM walk w JOIN ivs i ON i.place = w.place + 1 LEFT JOIN rivals r ON r.variable = i.variable),
+      final AS (SELECT kept FROM walk ORDER BY place DESC LIMIT 1)
+      SELECT CAST(list_position(kept, variable) AS INT) AS rank, variable, ROUND(iv, 6) AS iv
+      FROM ivs, final WHERE list_contains(kept, variable)"""
+
+
 LONG_NUMBERS = f"""WITH {FULL},
 long AS ({unpivot(['billed_usd', 'distinct_items', 'boxes'], 'DOUBLE', 'measure', 'value', 'channel,', 'order_history')})"""
 
@@ -574,16 +608,17 @@ ORACLES: dict[str, str] = {
         for a in CORRELATED
         for b in CORRELATED
     ),
-    "cramers_v_matrix": f"WITH {TRAIN2}, pairs AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{a}' AS variable_a, '{b}' AS variable_b, COALESCE({a}, 'MISSING') AS la, COALESCE({b}, 'MISSING') AS lb FROM train2"
-        for i, a in enumerate(CATEGORIES)
-        for b in CATEGORIES[i:]
-    )
-    + """), cells AS (SELECT variable_a, variable_b, la, lb, COUNT(*) AS n FROM pairs GROUP BY ALL),
-      sums AS (SELECT *, SUM(n) OVER (PARTITION BY variable_a, variable_b, la) AS na, SUM(n) OVER (PARTITION BY variable_a, variable_b, lb) AS nb FROM cells),
-      q AS (SELECT variable_a, variable_b, SUM(n * n / (na * nb)) AS q, LEAST(COUNT(DISTINCT la), COUNT(DISTINCT lb)) - 1 AS k FROM sums GROUP BY 1, 2)
-      SELECT variable_a, variable_b, ROUND(CASE WHEN k > 0 THEN sqrt(GREATEST(q - 1, 0) / k) ELSE 0 END, 6) AS cramers_v FROM q""",
+    "cramers_v_matrix": f"WITH {TRAIN2}, {CRAMERS} SELECT variable_a, variable_b, ROUND(v, 6) AS cramers_v FROM related",
+    "select_numeric": greedy_sql(
+        bins_cte(NUMBERS, [], "train2", 10)
+        + ", wide AS (SELECT "
+        + ", ".join(f'corr({a}, {b}) AS "{a}|{b}"' for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :])
+        + """ FROM train2),
+      related AS (SELECT split_part(pair, '|', 1) AS variable_a, split_part(pair, '|', 2) AS variable_b, v
+        FROM (UNPIVOT wide ON COLUMNS(*) INTO NAME pair VALUE v))""",
+        0.4,
+    ),
+    "select_categorical": greedy_sql(bins_cte([], CATEGORIES, "train2", 10) + "," + CRAMERS, 0.5),
     "vif": f"""WITH {TRAIN2}, r AS (SELECT corr(digital_share_prev, is_digital) AS r FROM train2)
       SELECT 'digital_share_prev' AS variable, ROUND(1 / (1 - r * r), 6) AS vif FROM r
       UNION ALL SELECT 'is_digital', ROUND(1 / (1 - r * r), 6) FROM r""",
