@@ -64,6 +64,8 @@ CORRELATED = ["billed_usd", "n_prev", "digital_share_prev", "gap_mean_prev", "di
 WOE_VARIABLES = ["maturity", "digital_share", "n_nondigital", "stars_val", "n_digital", "billed_mean"]
 VIF_PAIR = ["digital_share_prev", "is_digital"]
 OTHER_ROUTE = "OTHER_ROUTE"
+# Users have up to 99 events: a mean of cents over 64 rows ends in a 5 at the seventh digit.
+EVENT_DIGITS = 8
 TREES = 20
 CLASS_TREES = 8
 
@@ -634,8 +636,7 @@ def q_event_running(t: Tables) -> DataFrame:
             "tenure_days",
         ),
         {"digital_prev": "bigint"},
-        # Up to 99 events: means of cents over 64 rows end in a 5 at the seventh digit.
-        digits=8,
+        digits=EVENT_DIGITS,
     )
 
 
@@ -644,7 +645,7 @@ def q_event_entities(t: Tables) -> DataFrame:
         *X.customer_aggregates(EVENTS, recent=True), F.sum("is_last").alias("n_last")
     )
     columns = ["user_id", "n_prev", "n_digital", "value_sum", "value_mean", "n_changes", "n_30d", "latest_channel"]
-    return tidy(base.where((F.col("n_last") == 1) & (F.col("n_prev") > 0)).select(*columns))
+    return tidy(base.where((F.col("n_last") == 1) & (F.col("n_prev") > 0)).select(*columns), digits=EVENT_DIGITS)
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {

@@ -667,8 +667,8 @@ ORACLES: dict[str, str] = {
       h AS (SELECT *, lag(s2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p2,
           date_diff('day', CAST(ts AS DATE), CAST(last_ts AS DATE)) AS days FROM m
         WHERE ts <> last_ts AND user_id IN (SELECT user_id FROM k))
-      SELECT user_id, COUNT(*) AS n_prev, COUNT(*) FILTER (s2 = 'purchase') AS n_digital, ROUND(SUM(value), 6) AS value_sum,
-        ROUND(AVG(value), 6) AS value_mean, CAST(SUM(CASE WHEN p2 <> s2 THEN 1 ELSE 0 END) AS BIGINT) AS n_changes,
+      SELECT user_id, COUNT(*) AS n_prev, COUNT(*) FILTER (s2 = 'purchase') AS n_digital, ROUND(SUM(value), 8) AS value_sum,
+        ROUND(AVG(value), 8) AS value_mean, CAST(SUM(CASE WHEN p2 <> s2 THEN 1 ELSE 0 END) AS BIGINT) AS n_changes,
         COUNT(*) FILTER (days <= 30) AS n_30d, last(s2 ORDER BY ts, event_id) AS latest_channel
       FROM h GROUP BY 1""",
 }
