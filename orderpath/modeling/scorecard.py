@@ -45,28 +45,30 @@ class WoeEncoder:
         kept = [v for v in [*self.numeric, *self.categorical] if low <= self.iv[v] <= high]
         return kept or [max(self.iv, key=lambda v: (self.iv[v], v))]
 
-    def _numeric(self, variable: str) -> Column:
+    def _numeric(self) -> dict[str, Column]:
         """A CASE over the few bin edges; values past the ends fall to the end bins."""
-        rows = self.bins.where(F.col("variable") == variable).collect()
-        value = F.col(variable).cast("double")
-        missing = next((r["woe"] for r in rows if r["bin"] == MISSING), 0.0)
-        edges = sorted((r["lower"], r["woe"]) for r in rows if r["bin"] != MISSING)
-        if not edges:
-            return F.lit(missing)
-        result = F.lit(edges[0][1])
-        for lower, woe in edges[1:]:
-            result = F.when(value >= F.lit(lower), F.lit(woe)).otherwise(result)
-        return F.when(value.isNull(), F.lit(missing)).otherwise(result)
+        bins = self.bins.where(F.col("variable").isin(self.numeric)).collect()
+        columns = {}
+        for variable in self.numeric:
+            rows = [r for r in bins if r["variable"] == variable]
+            value = F.col(variable).cast("double")
+            missing = next((r["woe"] for r in rows if r["bin"] == MISSING), 0.0)
+            edges = sorted((r["lower"], r["woe"]) for r in rows if r["bin"] != MISSING)
+            result = F.lit(edges[0][1] if edges else missing)
+            for lower, woe in edges[1:]:
+                result = F.when(value >= F.lit(lower), F.lit(woe)).otherwise(result)
+            columns[f"{variable}_woe"] = F.when(value.isNull(), F.lit(missing)).otherwise(result)
+        return columns
 
     def transform(self, df: DataFrame, spread: Sequence[str]) -> DataFrame:
         """Add ``<variable>_woe``; a level not seen in training weighs 0."""
-        out = df.withColumns({f"{v}_woe": self._numeric(v) for v in self.numeric})
+        out = df.withColumns(self._numeric())
         for v in self.categorical:
             table = self.bins.where(F.col("variable") == v).select(
                 F.col("bin").alias("_level"), F.col("woe").alias(f"{v}_woe")
             )
             keyed = out.withColumn("_level", F.coalesce(F.col(v), F.lit(MISSING)))
-            out = lookup_join(keyed, table, ["_level"], spread=spread).drop("_level")
+            out = lookup_join(keyed, table, ["_level"], spread=spread, written=True).drop("_level")
             out = out.fillna(0.0, subset=[f"{v}_woe"])
         return out
 
@@ -91,10 +93,19 @@ def _vectors(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def fit_woe_logistic(
-    train: DataFrame, variables: Sequence[str], target: str, spread: Sequence[str], iterations: int = 1000
+    train: DataFrame,
+    variables: Sequence[str],
+    target: str,
+    spread: Sequence[str],
+    iterations: int = 1000,
+    written: bool = False,
 ) -> WoeLogistic:
-    """Class-balanced logistic regression with a unit L2 penalty on the coefficients."""
-    train = stage_table(train.select(*variables, target, *spread), "train")
+    """Class-balanced logistic regression with a unit L2 penalty on the coefficients.
+
+    ``written`` says that the training rows come from a table and need no copy.
+    """
+    train = train.select(*variables, target, *spread)
+    train = train if written else stage_table(train, "train")
     encoder = WoeEncoder.fit(train, variables, target)
     kept = encoder.selected()
     vectors = _vectors(encoder.transform(train, spread), kept).withColumn("label", F.col(target).cast("double"))

@@ -164,7 +164,7 @@ def cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy(*pair)
         .agg(
             F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("n") / (F.col("n_a") * F.col("n_b").cast("double"))).alias("_q"),
+            F.sum(F.col("n") / F.col("n_a") * (F.col("n") / F.col("n_b"))).alias("_q"),
         )
     )
     levels_a = side_a.groupBy(*pair).agg(F.count(F.lit(1)).alias("_ra"))

@@ -504,6 +504,8 @@ def q_woe(t: Tables) -> DataFrame:
 
 def evaluation(scored: DataFrame, target: str, scores: Mapping[int, str], by: str = "period") -> DataFrame:
     """Balanced accuracy, areas and Gini per period, in long form."""
+    # Two reports read the scores; scoring walks every tree, so it runs once.
+    scored = stage_table(scored.select(by, target, "prediction", *scores.values()), "scored")
     matrix = M.confusion(scored, target, "prediction", list(scores), [by])
     areas = M.average_auc(M.auc_one_vs_rest(scored, target, scores, [by]), [by])
     joined = M.balanced_accuracy(matrix, [by]).join(areas, by)
@@ -516,7 +518,9 @@ def evaluation(scored: DataFrame, target: str, scores: Mapping[int, str], by: st
 def q_woe_logistic(t: Tables) -> DataFrame:
     columns = ["customer_id", *WOE_VARIABLES, "target", "period"]
     matrix = stage_table(_customer_periods(t.customers).select(*columns), "matrix")
-    fitted = fit_woe_logistic(matrix.where(F.col("period") == "TRAIN"), WOE_VARIABLES, "target", ["customer_id"])
+    fitted = fit_woe_logistic(
+        matrix.where(F.col("period") == "TRAIN"), WOE_VARIABLES, "target", ["customer_id"], written=True
+    )
     scored = fitted.transform(matrix, ["customer_id"]).withColumn("score_0", 1 - F.col("score"))
     return evaluation(scored, "target", {0: "score_0", 1: "score"})
 
@@ -534,6 +538,7 @@ def _customer_model(t: Tables):
         "split_date",
         ["customer_id", "period"],
         _boost(WEIGHTED, TREES),
+        written=True,
     )
     return matrix, model
 
@@ -569,6 +574,7 @@ def _class_model(t: Tables, settings: BoostSettings) -> DataFrame:
         "order_date",
         ["customer_id", "order_id", "period"],
         _boost(settings, CLASS_TREES),
+        written=True,
     )
     return evaluation(model.transform(matrix), "target", model.score_columns())
 
@@ -589,6 +595,7 @@ def q_boosted_customer_classes(t: Tables) -> DataFrame:
         "split_date",
         ["customer_id", "period"],
         _boost(WEIGHTED, CLASS_TREES),
+        written=True,
     )
     return evaluation(model.transform(matrix), "target", model.score_columns())
 
