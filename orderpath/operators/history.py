@@ -131,8 +131,8 @@ class History:
 
         ``lag``/``lead`` map an output to a column (``lead`` also to a column and a
         distance); ``position`` names the row number;
-        ``first_time``/``last_time`` name the entity's time bounds; ``derive`` holds
-        row-wise expressions over those. ``prior`` maps an output to (statistic,
+        ``first_time``/``last_time`` name the entity's time bounds (the first is NULL on
+        rows without a time); ``derive`` holds row-wise expressions over those. ``prior`` maps an output to (statistic,
         expression) over all earlier rows, ``trailing`` to (expression, k) for the mean
         over the k rows before the current one.
         """
@@ -161,7 +161,8 @@ class History:
         if position:
             columns[position] = F.row_number().over(ordered)
         if first_time:
-            columns[first_time] = F.min(spec.time).over(entity)
+            # Rows are sorted by time, so the running minimum is already the entity's.
+            columns[first_time] = F.min(spec.time).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
         if last_time:
             columns[last_time] = F.max(spec.time).over(entity)
         rows = self.ordinary.withColumns(columns).withColumns(dict(derive))
@@ -214,7 +215,7 @@ class History:
         if position:
             columns[position] = F.col("_place").cast("int")
         if first_time:
-            columns[first_time] = F.col("_first")
+            columns[first_time] = F.when(F.col(spec.time).isNotNull(), F.col("_first"))
         if last_time:
             columns[last_time] = F.col("_last")
         local = shared.withColumns(columns).withColumns(dict(derive))

@@ -76,9 +76,11 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def category_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count and share of every value of every category column; NULL is a value."""
-    counted = counts(_long(df, columns, "string", "column_name", "value"), "column_name", "value")
-    rows = df.count()
-    return counted.withColumn("share", F.col("n") / F.lit(max(rows, 1)))
+    long = _long(df, columns, "string", "column_name", "value")
+    counted = stage_table(counts(long, "column_name", "value"), "levels")
+    # Every column has the same number of rows, so one of them gives the total.
+    rows = counted.where(F.col("column_name") == columns[0]).agg(F.sum("n")).first()[0]
+    return counted.withColumn("share", F.col("n") / F.lit(rows or 1))
 
 
 def crossed_counts(df: DataFrame, by: Sequence[str], state: str) -> DataFrame:
@@ -128,21 +130,20 @@ def entity_frequency(df: DataFrame, entity: str, state: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins over the value range, the last one closed on both sides.
 
-    The range is two numbers; with it as a constant, binning needs no second shuffle
-    of rows. Empty bins are kept.
+    The data are read once, into distinct values with counts; the range is two numbers
+    of that table. Empty bins are kept.
     """
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    if low is None:
-        return df.select(
-            F.lit(0).alias("bin"), F.lit(0.0).alias("lower"), F.lit(0.0).alias("upper"), F.lit(0).cast("bigint").alias("n")
-        ).limit(0)
-    low, high = float(low), float(high)
-    if low == high:
-        low, high = low - 0.5, high + 0.5
+    values = stage_table(
+        counts(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value")), "value"),
+        "values",
+    )
+    low, high = values.agg(F.min("value"), F.max("value")).first()
+    frame = df.sparkSession.range(0 if low is None else bins).select(F.col("id").cast("int").alias("bin"))
+    if low is None or low == high:
+        low, high = (low or 0.0) - 0.5, (low or 0.0) + 0.5
     width = (high - low) / bins
-    slot = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    filled = counts(df.where(F.col(value).isNotNull()).select(slot.alias("bin")), "bin")
-    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    slot = F.least(F.floor((F.col("value") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    filled = values.groupBy(slot.alias("bin")).agg(F.sum("n").alias("n"))
     return frame.join(filled, "bin", "left").select(
         "bin",
         (F.lit(low) + F.col("bin") * F.lit(width)).alias("lower"),
@@ -176,10 +177,12 @@ def state_columns(df: DataFrame, segment: str, state: str, levels: Sequence[str]
 
 def balance_report(matrix: DataFrame, period: str, columns: Sequence[str]) -> DataFrame:
     """Share of the periods, and of every level of the given columns inside a period."""
-    split = with_share(counts(matrix.select(F.col(period).alias("level")), "level"))
     renamed = matrix.withColumnRenamed(period, "period")
     long = _long(renamed, columns, "string", "variable", "level", ["period"])
-    inside = with_share(counts(long, "period", "variable", "level"), "period", "variable")
+    counted = stage_table(counts(long, "period", "variable", "level"), "balance")
+    inside = with_share(counted, "period", "variable")
+    one = counted.where(F.col("variable") == columns[0])
+    split = with_share(one.groupBy(F.col("period").alias("level")).agg(F.sum("n").alias("n")))
     return split.select(
         F.lit("ALL").alias("period"), F.lit("period").alias("variable"), "level", "n", "share"
     ).unionByName(inside)

@@ -120,6 +120,21 @@ def customer_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_totals(spark: SparkSession, sf_dir: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Distinct parts and boxes per order.
+
+    Lines of one order are few, so they are brought together once and counted in place.
+    Where some order is heavy, its distinct parts are left to Spark's own plan, which
+    shuffles on (order, part) first and again on the order.
+    """
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    if heavy_keys(lines, "l_orderkey", heavy_rows) is None:
+        lines = lines.repartition("l_orderkey")
+    return lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.count_distinct("l_partkey").alias("distinct_items"), F.sum("l_quantity").alias("boxes")
+    )
+
+
 def order_history(
     spark: SparkSession, sf_dir: str, heavy: HeavyKeys | None = None, items: bool = True, attributes: bool = True
 ) -> DataFrame:
@@ -130,14 +145,7 @@ def order_history(
     """
     orders = order_core(spark, sf_dir)
     if items:
-        lines = (
-            _table(spark, sf_dir, "lineitem")
-            .groupBy(F.col("l_orderkey").alias("order_id"))
-            .agg(
-                F.count_distinct("l_partkey").alias("distinct_items"),
-                F.sum("l_quantity").alias("boxes"),
-            )
-        )
+        lines = line_totals(spark, sf_dir)
         orders = orders.join(lines, "order_id", "left").fillna({"distinct_items": 0, "boxes": 0.0})
     if attributes:
         orders = dimension_join(

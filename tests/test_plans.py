@@ -47,3 +47,8 @@ def test_group_shares_do_not_shuffle_the_matrix(spark, tmp_path):
     text = plan(X.order_matrix(S.read_orders(spark, path), "2000-01-01", "transition", heavy=None))
     assert text.count("BroadcastHashJoin") == 2
     assert "hashpartitioning(agency_id" not in text and "hashpartitioning(route_id" not in text
+
+
+def test_line_totals_shuffle_once(spark):
+    assert plan(S.line_totals(spark, SMALL)).count("Exchange") == 1
+    assert plan(S.line_totals(spark, SMALL, heavy_rows=4)).count("Exchange") == 2

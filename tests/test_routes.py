@@ -94,3 +94,8 @@ def test_lookup_join_past_the_broadcast_bound(full):
     large = lookup_join(full, table, ["route_id"], ["order_id"], max_rows=3, salts=4)
     close_rows(small, large.select(small.columns), ["order_id"])
     assert small.where("m IS NULL").count() > 0
+
+
+def test_line_totals_of_heavy_orders(spark):
+    plain, heavy = S.line_totals(spark, SMALL), S.line_totals(spark, SMALL, heavy_rows=4)
+    close_rows(plain, heavy, ["order_id"])

@@ -60,6 +60,10 @@ def test_histogram_closes_the_last_bin(spark):
     assert [r.n for r in flat] == list(np.histogram([7.0] * 3, bins=2)[0])
 
 
+def test_histogram_of_nothing(spark):
+    assert P.histogram(spark.createDataFrame([(None,)], "x double"), "x", 3).count() == 0
+
+
 def brute_auc(pairs):
     pos, neg = [s for y, s in pairs if y], [s for y, s in pairs if not y]
     if not pos or not neg:
