@@ -5,13 +5,15 @@ word, with a space before it, becomes byte-level BPE ids. Learning has three par
 the training documents:
 
 * word counts, by a shuffle over every word of every training document;
-* id counts, from the BPE ids of each distinct word times its count;
+* counts of ids, and of which class follows which id, from the BPE ids of each distinct word
+  times its count; they are the network's starting point;
 * the weights of the network, from windows drawn at random places in proportion to the text.
   Workers train on their own share and their weights are averaged each round.
 
 The network predicts a class of ids: frequent ids have a class each, the others share
 classes by their first character, and an id inside its class has its share of the counts.
-The shares of all ids of all classes sum to 1.
+The shares of all ids of all classes sum to 1. The probability of a word is WORD_SHARE
+times its share of all training words plus the rest times what the network gives its ids.
 
 Scoring cuts the ids of a document into overlapping windows. A window attends to itself under a
 causal mask and scores only the tokens that no window before has scored, so every token is
@@ -36,11 +38,12 @@ from orderpath.llm.vocab import END_ID, JSON_FILE, RANK_FILE, Vocabulary, load
 SIZE, CLASSES, OWN_CLASSES, INPUTS = 16, 128, 96, 1024
 WINDOW, CONTEXT = 24, 8
 EVERY_WORDS, WINDOW_WORDS = 1024, 24
-ROUNDS, WORKERS, BATCH, RATE = 3, 12, 128, 0.02
+ROUNDS, WORKERS, BATCH, RATE = 2, 12, 32, 0.01
+PSEUDO, WORD_SHARE = 5.0, 0.6
 HEAVY_WORDS, HEAVY_CHARS = 20_000, 64
 MEMO_WORDS = 400_000
 WINDOWS_AT_ONCE = 256
-IDS_AT_ONCE = 1 << 18
+WORDS_AT_ONCE = 1 << 16
 LIMIT = 80.0
 LOG10 = np.log(10.0)
 
@@ -88,6 +91,54 @@ def count_ids(words: DataFrame, json_file: str, rank_file: str) -> np.ndarray:
     return counts
 
 
+def count_transitions(words: DataFrame, input_of: np.ndarray, class_of: np.ndarray, json_file: str, rank_file: str) -> np.ndarray:
+    """INPUTS x CLASSES counts of which class follows which input row inside words.
+
+    Two more rows: how often each class starts a word, and in the columns of a last block how often
+    each input row ends a word (returned as a flat tail).
+    """
+    cells = INPUTS * CLASSES
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = load(json_file, rank_file)
+        total = np.zeros(cells + CLASSES + INPUTS, dtype=np.int64)
+        for batch in batches:
+            ids = encode_words(vocabulary, batch.column(0).to_pylist())
+            if not ids:
+                continue
+            sizes = np.array([len(x) for x in ids])
+            flat, times = np.concatenate(ids).astype(np.int64), batch.column(1).to_numpy()
+            last = np.cumsum(sizes) - 1
+            inner = np.ones(len(flat), dtype=bool)
+            inner[last] = False
+            here = np.flatnonzero(inner)
+            each = np.repeat(times, sizes)
+            cell = input_of[flat[here]].astype(np.int64) * CLASSES + class_of[flat[here + 1]]
+            # Sums stay exact: bincount adds doubles, and a batch holds far less than 2 ** 53.
+            total[:cells] += np.bincount(cell, weights=each[here], minlength=cells).astype(np.int64)
+            total[cells : cells + CLASSES] += np.bincount(class_of[flat[last - sizes + 1]], weights=times, minlength=CLASSES).astype(np.int64)
+            total[cells + CLASSES :] += np.bincount(input_of[flat[last]], weights=times, minlength=INPUTS).astype(np.int64)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
+
+    counts = np.zeros(cells + CLASSES + INPUTS, dtype=np.float64)
+    for row in words.mapInArrow(work, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[row.id] = row.n
+    return counts
+
+
+def starting_table(counts: np.ndarray, class_share: np.ndarray, ends: int, end_class: int) -> np.ndarray:
+    """Log probability of each class after each input row: inside words as counted, after a word
+    as words start (or texts end) anywhere."""
+    cells = INPUTS * CLASSES
+    inside, firsts, lasts = counts[:cells].reshape(INPUTS, CLASSES), counts[cells : cells + CLASSES].copy(), counts[cells + CLASSES :]
+    firsts[end_class] += ends
+    firsts = (firsts + 0.5) / (firsts + 0.5).sum()
+    table = inside + lasts[:, None] * firsts + PSEUDO * np.exp(class_share)
+    table[INPUTS - 1] = firsts
+    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
 def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
     """Ids of each word with a space before it."""
     return [vocabulary.encode(" " + word.decode()) for word in words]
@@ -109,7 +160,7 @@ class AttentionModel:
         self.tables = tables(self.weights)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each id array: its windows score every id once.
+        """Natural log probability of every id of every array, one after the other; each is scored once.
 
         Before its first id a text has CONTEXT start symbols, so each window scores its last
         WINDOW - CONTEXT places and attends to all places before them in the window.
@@ -138,8 +189,7 @@ class AttentionModel:
             logits = attended.reshape(-1, SIZE) @ self.weights["mixed"]
             logits += gather(self.tables["direct"], inputs[:, CONTEXT:].ravel())
             scored[last.ravel()] = picked(logits, goals[last.ravel()])
-        totals = np.add.reduceat(scored[places] + self.log_share[flat], np.cumsum(sizes) - sizes)
-        return totals
+        return scored[places] + self.log_share[flat]
 
 
 def tables(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -181,7 +231,7 @@ def attend(t: dict[str, np.ndarray], rows: np.ndarray, first: int) -> tuple[np.n
     return scores @ gather(t["value"], rows) / total, scores, total
 
 
-def start_weights(class_log_share: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+def start_weights(direct: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (0.3 * rng.standard_normal(shape)).astype(np.float32)
     return {
@@ -190,9 +240,9 @@ def start_weights(class_log_share: np.ndarray, seed: int = 5) -> dict[str, np.nd
         "key": draw(SIZE, SIZE),
         "value": draw(SIZE, SIZE),
         "distance": np.linspace(0, -2, WINDOW + 1).astype(np.float32),
-        "direct": np.zeros((INPUTS, CLASSES), dtype=np.float32),
-        "mixed": draw(SIZE, CLASSES),
-        "bias": class_log_share.astype(np.float32),
+        "direct": direct,
+        "mixed": draw(SIZE, CLASSES) * np.float32(0.1),
+        "bias": np.zeros(CLASSES, dtype=np.float32),
     }
 
 
@@ -353,7 +403,8 @@ def learn(train: DataFrame, every: int = EVERY_WORDS, json_file: str = JSON_FILE
     # The number of workers bounds what returns to the driver: one set of weights each.
     windows = stage_table(windows.repartition(WORKERS, "at").sortWithinPartitions("at"), "lm-windows")
     dealt = windows.repartitionByRange(WORKERS, "at").sortWithinPartitions("at")
-    weights = start_weights(class_share)
+    follows = count_transitions(words, input_of, class_of, json_file, rank_file)
+    weights = start_weights(starting_table(follows, class_share, ends, int(class_of[END_ID])))
     for i in range(ROUNDS):
         weights = average_round(dealt, weights, RATE * (1 - i / ROUNDS))
     return Learned(AttentionModel(weights, input_of, class_of, log_share), words, (total.n or 0) + ends, total.v + (ends > 0))
@@ -374,70 +425,87 @@ def score_documents(docs: DataFrame, learned: Learned, json_file: str = JSON_FIL
     n, v = learned.train_tokens, learned.distinct_tokens
     ends = learned_ends(learned)
     frequent = learned.words.where((F.octet_length("word") <= HEAVY_CHARS) & (F.col("c") * HEAVY_WORDS > n)).collect()
-    heavy = {bytes(r.word): np.log10((r.c + 1) / (n + v + 1)) for r in frequent}
+    total = float(n + v + 1)
+    heavy = {bytes(r.word): (float(np.log10((r.c + 1) / total)), float(np.log(r.c / n))) for r in frequent}
+    end_logs = (float(np.log10((ends + 1) / total)), float(np.log(ends / n)) if ends else -np.inf)
     model = learned.model
-    end_score = float(np.log10((ends + 1) / (n + v + 1)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(json_file, rank_file)
         memo: dict[bytes, np.ndarray] = {}
         end = np.array([END_ID], dtype=np.uint32)
         for batch in batches:
-            out: list[tuple] = []
-            scores, tokens, held = [], [], 0
+            out: list[list[bytes]] = []
+            held: list[list[np.ndarray]] = []
+            spelled: list[np.ndarray] = []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                tally = Counter(words)
-                base, known, rare, times = end_score, int(ends > 0), [], []
-                for word, k in tally.items():
-                    logged = heavy.get(word)
-                    if logged is None:
-                        rare.append(word)
-                        times.append(k)
-                    else:
-                        base += k * logged
-                        known += k
-                missing = [word for word in tally if word not in memo]
+                missing = {word for word in words if word not in memo}
                 if len(memo) + len(missing) > MEMO_WORDS:
                     memo.clear()
-                    missing = list(tally)
-                for word, ids in zip(missing, encode_words(vocabulary, missing)):
-                    memo[word] = ids
-                tokens.append(np.concatenate([*map(memo.__getitem__, words), end]))
-                held += len(tokens[-1])
-                if held >= IDS_AT_ONCE:
-                    scores.append(model.score(tokens))
-                    tokens, held = [], 0
-                out.append((len(words) + 1, known, float(base), rare, times))
-            if tokens:
-                scores.append(model.score(tokens))
+                    missing = set(words)
+                ordered = sorted(missing)
+                memo.update(zip(ordered, encode_words(vocabulary, ordered)))
+                held.append([*map(memo.__getitem__, words), end])
+                out.append(words)
+                if sum(map(len, held)) >= WORDS_AT_ONCE:
+                    spelled += word_scores(model, held)
+                    held = []
+            if held:
+                spelled += word_scores(model, held)
             if out:
-                score = pa.array(np.concatenate(scores) / LOG10)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-                names = ["n_tokens", "known", "base", "rare", "times"]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)], score], ["doc_id", *names, "score"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0), *tally(out, spelled, heavy, end_logs)], names)
 
-    schema = "doc_id long, n_tokens long, known long, base double, rare array<binary>, times array<int>, score double"
+    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<double>"
+    names = [part.split()[0] for part in schema.split(", ")]
     scored = document_columns(docs).mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id())
     scored = stage_table(scored, "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("k"))
-    found = rare.join(learned.words, "word", "left")
-    logged = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "spelled")).alias("w"))
+    rare = rare.select("row", F.col("w.rare").alias("word"), F.col("w.spelled").alias("spelled"))
+    found = rare.join(learned.words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    share, spelled = F.col("c") / F.lit(float(max(n, 1))), F.col("spelled") + F.lit(float(np.log10(1 - WORD_SHARE)))
+    # log10 of a sum whose second part may be too small for a double
+    mixed = F.when(F.col("c") == 0, spelled).otherwise(F.log10(WORD_SHARE * share + F.pow(F.lit(10.0), spelled)))
     sums = found.groupBy("row").agg(
-        F.sum(F.col("k") * logged).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more")
+        F.sum(F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("rest"),
+        F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("more"),
+        F.sum(mixed).alias("rest_score"),
     )
-    return scored.drop("rare", "times").join(sums, "row", "left").select(
+    return scored.drop("rare", "spelled").join(sums, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
     )
 
 
+def word_scores(model: AttentionModel, texts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """log10 probability of the ids of each word (and end) of each text."""
+    scores = model.score([np.concatenate(pieces).astype(np.int64) for pieces in texts])
+    sizes = np.array([len(piece) for pieces in texts for piece in pieces])
+    by_word = np.add.reduceat(scores, np.cumsum(sizes) - sizes) / LOG10
+    return np.split(by_word, np.cumsum([len(pieces) for pieces in texts])[:-1])
+
+
+def tally(texts: list[list[bytes]], spelled: list[np.ndarray], heavy: dict[bytes, tuple[float, float]], end_logs: tuple) -> list[pa.Array]:
+    """Sums over frequent words and ends, and the other words with what the network gives them."""
+    nothing = (np.nan, -np.inf)
+    columns: list[list] = [[] for _ in range(6)]
+    for words, scores in zip(texts, spelled):
+        logs = np.array([heavy.get(word, nothing) for word in words] + [end_logs]).reshape(-1, 2)
+        rare = np.isnan(logs[:, 0])
+        mixed = np.logaddexp((scores + np.log10(1 - WORD_SHARE)) * LOG10, logs[:, 1] + np.log(WORD_SHARE)) / LOG10
+        known = len(rare) - rare.sum() - (end_logs[1] == -np.inf)
+        places = np.flatnonzero(rare)
+        row = (len(words) + 1, int(known), float(logs[~rare, 0].sum()), float(mixed[~rare].sum()), [words[i] for i in places], scores[places])
+        for column, value in zip(columns, row):
+            column.append(value)
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64())]
+    return [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+
+
 def learned_ends(learned: Learned) -> int:
     """Ends in training: all tokens but the words."""
     return learned.train_tokens - (learned.words.agg(F.sum("c").alias("n")).first().n or 0)

@@ -1,14 +1,15 @@
 """Toxicity by a learned lexicon trie, Levenshtein automata and context windows.
 
 Learning: in a bounded sample of labelled documents every word prefix is counted by label.
-Prefixes that (nearly) only toxic documents hold become entries: whole words or stems. The
-clean words of the sample that lie within the edit distance of an entry are known words,
-not misspellings of it.
+Prefixes that toxic documents hold much more often than clean ones become entries, whole words
+or stems, weighted by the log of the ratio. Clean words of the sample within the edit distance of
+an entry are known words, not misspellings of it.
 
 Scoring: a word is matched by walking the trie of the entries together with the states of
 the Levenshtein automaton of the word, so all entries within the distance are found in one
 walk. The words around a hit tell abuse from quotation or mention: inside quotation marks, or
-near a word that reports speech, a hit weighs less. Hits combine as independent evidence.
+near a word that reports speech, a hit weighs less. A logistic curve over the number, the weight
+and the density of hits, fitted on the sample, gives the probability.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +33,13 @@ QUOTES = re.compile("[\"“”„«»]")
 REPORTING = frozenset("said says wrote called calling quote quoted quotes word words term insult slur tweeted yelled".split())
 SAMPLE_ROWS = {1: 6000, 0: 12000}
 STEM_CHARS = range(3, 13)
-LEAST_SHARE, LEAST_ROWS, PURITY = 0.02, 4, 0.98
+LEAST_SHARE, LEAST_ROWS, LEAST_RATIO = 0.02, 4, 5.0
+MOST_WEIGHT = 40.0
 DISTANCE, FUZZY_CHARS, FUZZY_WEIGHT = 1, 5, 0.85
 QUOTED_WEIGHT, REPORTED_WEIGHT = 0.3, 0.5
 WINDOW_WORDS = 4
 MEMO_WORDS = 500_000
+FEATURES = 8
 
 
 @dataclass
@@ -50,7 +54,7 @@ class Lexicon:
 
     words: dict[str, float]
     stems: dict[str, float]
-    prior: float = 0.05
+    curve: np.ndarray
     known: frozenset[str] = frozenset()
 
     def __post_init__(self):
@@ -105,10 +109,11 @@ class Lexicon:
         """A cheap test that no word within one edit of an entry fails."""
         return self.least <= len(word) <= self.most and (word.startswith(self.starts) or word.endswith(self.ends))
 
-    def score(self, text: str) -> float:
+    def features(self, text: str) -> list[float]:
+        """Constant, hits (first, second, third, more), their total and largest weight, weight per 100 words."""
         lower = text.lower()
         words, memo = WORD.findall(lower), self.memo
-        hits = []
+        hits = set()
         for word in set(words):
             weight = memo.get(word)
             if weight is None:
@@ -116,17 +121,34 @@ class Lexicon:
                     memo.clear()
                 weight = memo[word] = self.weigh(word)
             if weight:
-                hits.append(word)
-        clean = 1.0 - self.prior
-        if hits:
-            for word, start, around in occurrences(lower, set(hits)):
-                weight = memo.get(word) or self.weigh(word)
-                if inside_quotes(lower, start):
-                    weight *= QUOTED_WEIGHT
-                elif REPORTING.intersection(around):
-                    weight *= REPORTED_WEIGHT
-                clean *= 1.0 - weight
-        return 1.0 - clean
+                hits.add(word)
+        count = total = top = 0.0
+        for word, start, around in occurrences(lower, hits) if hits else ():
+            context = 1.0
+            if inside_quotes(lower, start):
+                context = QUOTED_WEIGHT
+            elif REPORTING.intersection(around):
+                context = REPORTED_WEIGHT
+            weight = context * self.weigh(word)
+            count, total, top = count + context, total + weight, max(top, weight)
+        steps = [min(max(count - k, 0.0), 1.0) for k in range(3)]
+        total = min(total, MOST_WEIGHT)
+        return [1.0, *steps, math.log1p(count), total / 10, top / 10, min(100 * total / (len(words) + 20), 100.0) / 10]
+
+    def score(self, text: str) -> float:
+        z = float(np.dot(self.curve, self.features(text)))
+        return 1.0 / (1.0 + math.exp(-min(max(z, -30.0), 30.0)))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weighted logistic regression by Newton steps; the constant is not shrunk."""
+    beta = np.zeros(x.shape[1])
+    shrink = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (weight * (y - p)) - shrink @ beta
+        beta = beta + np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + shrink, slope)
+    return beta
 
 
 def occurrences(text: str, wanted: set[str]) -> Iterator[tuple[str, int, list[str]]]:
@@ -178,27 +200,23 @@ def count_prefixes(sample: DataFrame) -> DataFrame:
     return counted.groupBy("entry", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_entries(rows: list[tuple[str, bool, int, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems with their precision, from the prefixes that pass the thresholds.
+def choose_entries(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems with their log ratio, from the prefixes that pass the thresholds.
 
-    Of prefixes that stand for the same documents the longest is taken; it is a word if the
-    whole word covers most of them, else a stem.
+    Those with the largest documents times log ratio come first, and no entry is a prefix of
+    another, so a stem stands for its words only where it tells more than each of them.
     """
-    whole = {e: (t, c) for e, w, t, c in rows if w}
-    stems = {e: (t, c) for e, w, t, c in rows if not w}
-    words, roots = {}, {}
-    for stem, (toxic, clean) in stems.items():
-        if any(stem[:n] in roots for n in STEM_CHARS if n < len(stem)):
-            continue
-        longer = [e for e in stems if len(e) == len(stem) + 1 and e.startswith(stem) and stems[e][0] >= 0.9 * toxic]
-        if longer or any(w.startswith(stem) and t >= 0.9 * toxic and w != stem for w, (t, _) in whole.items()):
+    ratio = lambda t, c: math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+    scored = sorted((-t * ratio(t, c), not w, e, ratio(t, c)) for e, w, t, c in rows)
+    words: dict[str, float] = {}
+    stems: dict[str, float] = {}
+    taken: set[str] = set()
+    for _, is_stem, entry, weight in scored:
+        if entry in taken or any(entry[:n] in stems for n in range(1, len(entry) + 1)):
             continue
-        if whole.get(stem, (0, 0))[0] < 0.9 * toxic:
-            roots[stem] = (toxic + 0.5) / (toxic + clean + 1)
-    for word, (toxic, clean) in whole.items():
-        if not any(word[:n] in roots for n in STEM_CHARS):
-            words[word] = (toxic + 0.5) / (toxic + clean + 1)
-    return words, roots
+        (stems if is_stem else words)[entry] = weight
+        taken.update(entry[:n] for n in range(1, len(entry) + 1))
+    return words, stems
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, int] | None = None) -> Lexicon:
@@ -216,10 +234,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, int
         size = dict(sample.groupBy("label").count().collect())
         n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
         least = max(LEAST_ROWS, math.ceil(LEAST_SHARE * n_toxic))
-        pure = F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))
-        passed = count_prefixes(sample).where((F.col("toxic") >= least) & pure)
-        words, stems = choose_entries(sorted((r.entry, r.whole, r.toxic, r.clean) for r in passed.collect()))
-        lexicon = Lexicon(words, stems, prior=min(0.3, 0.5 * (n_toxic + 0.5) / (n_toxic + n_clean + 10)))
+        often = (F.col("toxic") + 0.5) * (n_clean + 1) >= LEAST_RATIO * (F.col("clean") + 0.5) * (n_toxic + 1)
+        passed = count_prefixes(sample).where((F.col("toxic") >= least) & often)
+        words, stems = choose_entries([(r.entry, r.whole, r.toxic, r.clean) for r in passed.collect()], n_toxic, n_clean)
+        lexicon = Lexicon(words, stems, np.zeros(FEATURES))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -229,6 +247,21 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, int
 
         clean = sample.where("label = 0").select("text").mapInArrow(work, "word string").distinct()
         lexicon.known = frozenset(r.word for r in clean.collect())
+
+        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [lexicon.features(text) for text in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+
+        points = sample.select("text", "label").mapInArrow(describe, "x array<double>, label int").collect()
+        points = sorted((list(r.x), r.label) for r in points)
+        counted = labels.where(keep & F.col("toxic").isNotNull()).groupBy(F.col("toxic").cast("int").alias("c")).count()
+        shares = {r.c: r["count"] for r in counted.collect()}
+        scale = {c: shares.get(c, 0) / max(n, 1) for c, n in ((0, n_clean), (1, n_toxic))}
+        y = np.array([label for _, label in points], dtype=float)
+        weight = np.array([scale[label] for _, label in points])
+        # Without labelled rows every text gets the same low score.
+        lexicon.curve = fit_curve(np.array([x for x, _ in points]), y, weight / weight.mean()) if points else np.array([-1.0] + [0.0] * (FEATURES - 1))
     finally:
         sample.unpersist()
     return lexicon
@@ -237,7 +270,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, int
 def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id``, ``score`` of every row, one pass without a shuffle.
 
-    Null and empty texts get the prior; repeated rows and null ids are kept.
+    Null and empty texts get the score of a text without hits; repeated rows and null ids are kept.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
