@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 from orderpath.llm.common import document_columns, fold, stage_table
 from orderpath.llm.vocab import END_ID, JSON_FILE, RANK_FILE, Vocabulary, load
 
-SIZE, CLASSES, OWN_CLASSES, INPUTS = 16, 128, 96, 1024
-WINDOW, CONTEXT = 24, 8
+SIZE, CLASSES, OWN_CLASSES, INPUTS = 16, 96, 72, 1024
+WINDOW, CONTEXT = 20, 4
 EVERY_WORDS, WINDOW_WORDS = 1024, 24
 ROUNDS, WORKERS, BATCH, RATE = 2, 12, 32, 0.01
 PSEUDO, WORD_SHARE = 5.0, 0.6
-HEAVY_WORDS, HEAVY_CHARS = 20_000, 64
+HEAVY_WORDS, HEAVY_CHARS = 100_000, 64
+LONG_WORD, END_MARK = 1000, "<|endoftext|>"
 MEMO_WORDS = 400_000
 WINDOWS_AT_ONCE = 256
 WORDS_AT_ONCE = 1 << 16
@@ -79,8 +80,10 @@ def count_ids(words: DataFrame, json_file: str, rank_file: str) -> np.ndarray:
         vocabulary = load(json_file, rank_file)
         total = np.zeros(END_ID + 1, dtype=np.int64)
         for batch in batches:
-            ids = encode_words(vocabulary, batch.column(0).to_pylist())
-            np.add.at(total, np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(batch.column(1).to_numpy(), [len(x) for x in ids]))
+            if batch.num_rows:
+                ids, sizes = encode_words(vocabulary, batch.column(0).to_pylist())
+                each = np.repeat(batch.column(1).to_numpy(), sizes)
+                total += np.bincount(ids, weights=each, minlength=len(total)).astype(np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
@@ -103,11 +106,10 @@ def count_transitions(words: DataFrame, input_of: np.ndarray, class_of: np.ndarr
         vocabulary = load(json_file, rank_file)
         total = np.zeros(cells + CLASSES + INPUTS, dtype=np.int64)
         for batch in batches:
-            ids = encode_words(vocabulary, batch.column(0).to_pylist())
-            if not ids:
+            if not batch.num_rows:
                 continue
-            sizes = np.array([len(x) for x in ids])
-            flat, times = np.concatenate(ids).astype(np.int64), batch.column(1).to_numpy()
+            flat, sizes = encode_words(vocabulary, batch.column(0).to_pylist())
+            flat, times = flat.astype(np.int64), batch.column(1).to_numpy()
             last = np.cumsum(sizes) - 1
             inner = np.ones(len(flat), dtype=bool)
             inner[last] = False
@@ -139,9 +141,71 @@ def starting_table(counts: np.ndarray, class_share: np.ndarray, ends: int, end_c
     return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """Ids of each word with a space before it."""
-    return [vocabulary.encode(" " + word.decode()) for word in words]
+def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, each with a space before it, one after the other, and how many each has.
+
+    A space before a word ends the pre-token before it, so the words are encoded together and
+    cut apart by their bytes; only words that hold other white space are encoded alone.
+    """
+    texts = [" " + word.decode() for word in words]
+    alone = [i for i, text in enumerate(texts) if not text.isascii() and len(text.split()) != 1 or END_MARK in text or len(text) > LONG_WORD]
+    apart = set(alone)
+    joined = vocabulary.encode("".join(text for i, text in enumerate(texts) if i not in apart) if alone else "".join(texts))
+    spans = np.array([len(word) + 1 for i, word in enumerate(words) if i not in apart], dtype=np.int64)
+    starts = np.cumsum(vocabulary.byte_lengths[joined]) - vocabulary.byte_lengths[joined]
+    sizes = np.bincount(np.searchsorted(np.cumsum(spans), starts, side="right"), minlength=len(spans))
+    if not alone:
+        return joined, sizes
+    pieces: list[np.ndarray] = []
+    together = iter(np.split(joined, np.cumsum(sizes)[:-1])) if len(spans) else iter(())
+    for i, text in enumerate(texts):
+        pieces.append(vocabulary.encode(text) if i in apart else next(together))
+    return np.concatenate(pieces), np.array([len(piece) for piece in pieces])
+
+
+class WordTable:
+    """Numbers words as they come, with their ids and two values of a broadcast table side by side."""
+
+    def __init__(self, vocabulary: Vocabulary, values: dict[bytes, tuple[float, float]]):
+        self.vocabulary, self.values = vocabulary, values
+        self.reset()
+
+    def reset(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
+        self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.logs = np.zeros((1 << 15, 2))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        index = self.index
+        missing = sorted(set(words).difference(index))
+        if missing:
+            if len(index) + len(missing) > MEMO_WORDS and index:
+                self.reset()
+                return self.numbers(words)
+            self.add(missing)
+        return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def add(self, words: list[bytes]) -> None:
+        ids, sizes = encode_words(self.vocabulary, words)
+        first, n = len(self.index), len(words)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + n > len(self.starts):
+            self.starts, self.sizes, self.logs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.logs))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + n] = sizes
+        nothing = (np.nan, -np.inf)
+        self.logs[first : first + n] = [self.values.get(word, nothing) for word in words]
+        self.used += len(ids)
+        self.index.update(zip(words, range(first, first + n)))
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start .. start + size - 1 of each, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
 # ---------------------------------------------------------------- network
@@ -370,12 +434,21 @@ def average_round(windows: DataFrame, w: dict[str, np.ndarray], rate: float) ->
             blob = np.concatenate([state[k].ravel() for k in names]).astype("<f4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([blob], pa.binary())], ["seen", "blob"])
 
-    results = windows.select("rows", "goals").mapInArrow(work, "seen long, blob binary").collect()
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = 0.0, 0
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total, seen = total + n * np.frombuffer(blob.as_buffer(), "<f4").astype(np.float64), seen + n
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["seen", "blob"])
+
+    # One set of weights per worker meets in one task; one returns to the driver.
+    trained = windows.select("rows", "goals").mapInArrow(work, "seen long, blob binary")
+    results = trained.repartition(1).mapInArrow(average, "seen long, blob binary")
+    results = results.collect()
     if not results:
         return w
-    total = sum(r.seen for r in results)
-    results.sort(key=lambda r: bytes(r.blob))
-    mean = sum(np.frombuffer(r.blob, "<f4").astype(np.float64) * (r.seen / total) for r in results)
+    mean = np.frombuffer(results[0].blob, "<f4")
     out, at = {}, 0
     for k in names:
         out[k] = mean[at : at + w[k].size].reshape(w[k].shape).astype(np.float32)
@@ -400,7 +473,6 @@ def learn(train: DataFrame, every: int = EVERY_WORDS, json_file: str = JSON_FILE
     counts[END_ID] += ends
     input_of, class_of, log_share, class_share = place_ids(counts, load(json_file, rank_file).token_bytes)
     windows = draw_windows(train, every, input_of, class_of, json_file, rank_file)
-    # The number of workers bounds what returns to the driver: one set of weights each.
     windows = stage_table(windows.repartition(WORKERS, "at").sortWithinPartitions("at"), "lm-windows")
     dealt = windows.repartitionByRange(WORKERS, "at").sortWithinPartitions("at")
     follows = count_transitions(words, input_of, class_of, json_file, rank_file)
@@ -432,29 +504,18 @@ def score_documents(docs: DataFrame, learned: Learned, json_file: str = JSON_FIL
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(json_file, rank_file)
-        memo: dict[bytes, np.ndarray] = {}
-        end = np.array([END_ID], dtype=np.uint32)
+        table = WordTable(vocabulary, heavy)
         for batch in batches:
-            out: list[list[bytes]] = []
-            held: list[list[np.ndarray]] = []
-            spelled: list[np.ndarray] = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                missing = {word for word in words if word not in memo}
-                if len(memo) + len(missing) > MEMO_WORDS:
-                    memo.clear()
-                    missing = set(words)
-                ordered = sorted(missing)
-                memo.update(zip(ordered, encode_words(vocabulary, ordered)))
-                held.append([*map(memo.__getitem__, words), end])
-                out.append(words)
-                if sum(map(len, held)) >= WORDS_AT_ONCE:
-                    spelled += word_scores(model, held)
-                    held = []
-            if held:
-                spelled += word_scores(model, held)
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *tally(out, spelled, heavy, end_logs)], names)
+            texts = [words_of(text) for text in batch.column(1).to_pylist()]
+            i = 0
+            while i < len(texts):
+                j, held = i, 0
+                while j < len(texts) and held < WORDS_AT_ONCE:
+                    held += len(texts[j]) + 1
+                    j += 1
+                part = score_part(model, table, texts[i:j], end_logs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *part], names)
+                i = j
 
     schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<double>"
     names = [part.split()[0] for part in schema.split(", ")]
@@ -481,29 +542,40 @@ def score_documents(docs: DataFrame, learned: Learned, json_file: str = JSON_FIL
     )
 
 
-def word_scores(model: AttentionModel, texts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """log10 probability of the ids of each word (and end) of each text."""
-    scores = model.score([np.concatenate(pieces).astype(np.int64) for pieces in texts])
-    sizes = np.array([len(piece) for pieces in texts for piece in pieces])
-    by_word = np.add.reduceat(scores, np.cumsum(sizes) - sizes) / LOG10
-    return np.split(by_word, np.cumsum([len(pieces) for pieces in texts])[:-1])
-
-
-def tally(texts: list[list[bytes]], spelled: list[np.ndarray], heavy: dict[bytes, tuple[float, float]], end_logs: tuple) -> list[pa.Array]:
-    """Sums over frequent words and ends, and the other words with what the network gives them."""
-    nothing = (np.nan, -np.inf)
-    columns: list[list] = [[] for _ in range(6)]
-    for words, scores in zip(texts, spelled):
-        logs = np.array([heavy.get(word, nothing) for word in words] + [end_logs]).reshape(-1, 2)
-        rare = np.isnan(logs[:, 0])
-        mixed = np.logaddexp((scores + np.log10(1 - WORD_SHARE)) * LOG10, logs[:, 1] + np.log(WORD_SHARE)) / LOG10
-        known = len(rare) - rare.sum() - (end_logs[1] == -np.inf)
-        places = np.flatnonzero(rare)
-        row = (len(words) + 1, int(known), float(logs[~rare, 0].sum()), float(mixed[~rare].sum()), [words[i] for i in places], scores[places])
-        for column, value in zip(columns, row):
-            column.append(value)
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64())]
-    return [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+def score_part(model: AttentionModel, table: WordTable, texts: list[list[bytes]], end_logs: tuple[float, float]) -> list[pa.Array]:
+    """Of each text: tokens, known frequent words, their base and mixed sums, and the other words
+    with the log10 probability that the network gives their ids."""
+    counts = np.array([len(words) for words in texts])
+    flat = [word for words in texts for word in words]
+    numbers = table.numbers(flat)
+    ends = np.cumsum(counts)
+    # The end of a text is one more word, numbered -1.
+    numbers = np.insert(numbers, ends, -1)
+    last = numbers < 0
+    sizes = np.where(last, 1, table.sizes[numbers])
+    ids = table.ids[ranges(table.starts[numbers], sizes)].astype(np.int64)
+    firsts = np.cumsum(sizes) - sizes
+    ids[firsts[last]] = END_ID
+    text_sizes = np.add.reduceat(sizes, ends - counts + np.arange(len(texts)))
+    by_word = np.add.reduceat(model.score(np.split(ids, np.cumsum(text_sizes)[:-1])), firsts) / LOG10
+    logs = table.logs[numbers]
+    logs[last] = end_logs
+    rare = np.isnan(logs[:, 0])
+    mixed = np.logaddexp((by_word + np.log10(1 - WORD_SHARE)) * LOG10, logs[:, 1] + np.log(WORD_SHARE)) / LOG10
+    starts = ends - counts + np.arange(len(texts))
+    known = np.add.reduceat(np.where(rare | (last & (end_logs[1] == -np.inf)), 0, 1), starts)
+    base = np.add.reduceat(np.where(rare, 0.0, logs[:, 0]), starts)
+    score = np.add.reduceat(np.where(rare, 0.0, mixed), starts)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), starts))]).astype(np.int32))
+    words = pa.array([flat[i] for i in np.flatnonzero(rare[~last])], pa.binary())
+    return [
+        pa.array(counts + 1),
+        pa.array(known.astype(np.int64)),
+        pa.array(base),
+        pa.array(score),
+        pa.ListArray.from_arrays(offsets, words),
+        pa.ListArray.from_arrays(offsets, pa.array(by_word[rare])),
+    ]
 
 
 def learned_ends(learned: Learned) -> int:

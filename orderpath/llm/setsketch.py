@@ -31,6 +31,7 @@ BANDS = REGISTERS // ROWS
 BASE, TOP = 1.01, 8190
 PERCENT = 80
 MARGIN = 6.0
+FAMILIES = 8
 BROADCAST_ROWS = 100_000
 PLACES_AT_ONCE = 1024
 MEMO_WORDS = 400_000
@@ -230,9 +231,16 @@ def near_side(df: DataFrame) -> DataFrame:
 
 
 def star_pairs(bands: DataFrame) -> DataFrame:
-    """Each class with the smallest class of each of its buckets, ``a`` > ``b``."""
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").drop("last")
-    return bands.join(shared, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    """Each class with one representative of each of its buckets, ``a`` > ``b``.
+
+    Buckets of one family choose alike, by a hash of the class, so the buckets of a group name
+    few representatives, but not only one that may happen to lie at its rim.
+    """
+    family = F.pmod(F.col("bucket"), F.lit(FAMILIES))
+    ranked = bands.withColumn("rank", F.struct(F.xxhash64("node", family).alias("h"), F.col("node").alias("node")))
+    shared = ranked.groupBy("bucket").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first != last")
+    both = bands.join(shared.select("bucket", F.col("first.node").alias("p")), "bucket").where("node != p")
+    return both.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
 
 
 def cross_pairs(bands: DataFrame, labels: DataFrame) -> DataFrame:
