@@ -41,9 +41,11 @@ class WoeEncoder:
         return cls(numeric, categorical, table, iv)
 
     def selected(self, low: float = IV_RANGE[0], high: float = IV_RANGE[1]) -> list[str]:
-        """Variables inside the accepted range; the strongest one if none is."""
+        """Variables inside the accepted range; none at all is an error, not a reason to widen it."""
         kept = [v for v in [*self.numeric, *self.categorical] if low <= self.iv[v] <= high]
-        return kept or [max(self.iv, key=lambda v: (self.iv[v], v))]
+        if not kept:
+            raise ValueError(f"no variable has an information value in [{low}, {high}]: {self.iv}")
+        return kept
 
     def _numeric(self) -> dict[str, Column]:
         """A CASE over the few bin edges; values past the ends fall to the end bins."""

@@ -18,6 +18,8 @@ from orderpath.session import stage_table
 
 MISSING = "MISSING"
 
+PAIRS_AT_ONCE = 60
+
 
 def numeric_bins(df: DataFrame, columns: Sequence[str], target: str, bins: int) -> DataFrame:
     """(variable, bin, lower, n_event, n_other) of equal-frequency bins.
@@ -114,10 +116,28 @@ def information_value(
 
 
 def _correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """k x k Pearson matrix; the rows are reduced to one k x k summary on executors."""
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip").transform(doubles)
-    return Correlation.corr(vectors, "_v", "pearson").first()[0].toArray()
+    """k x k Pearson matrix; each pair uses the rows where both values are known.
+
+    Columns without gaps share one k x k summary. Pairs with a column that has gaps are
+    aggregated pair by pair, PAIRS_AT_ONCE in one pass.
+    """
+    known = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns}
+    doubles = df.select(*[value.alias(c) for c, value in known.items()])
+    counts = doubles.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in columns]).first()
+    full = [c for c in columns if counts[c] == counts["_n"]]
+    matrix = np.full((len(columns), len(columns)), np.nan)
+    place = {c: i for i, c in enumerate(columns)}
+    if full and counts["_n"]:
+        vectors = VectorAssembler(inputCols=full, outputCol="_v").transform(doubles)
+        rows = [place[c] for c in full]
+        matrix[np.ix_(rows, rows)] = Correlation.corr(vectors, "_v", "pearson").first()[0].toArray()
+    gaps = [(a, b) for a, b in itertools.combinations_with_replacement(columns, 2) if a not in full or b not in full]
+    for i in range(0, len(gaps), PAIRS_AT_ONCE):
+        part = gaps[i : i + PAIRS_AT_ONCE]
+        values = doubles.agg(*[F.corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(part)]).first()
+        for (a, b), value in zip(part, values):
+            matrix[place[a], place[b]] = matrix[place[b], place[a]] = np.nan if value is None else value
+    return matrix
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

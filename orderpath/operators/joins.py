@@ -84,15 +84,17 @@ def dimension_join(
     heavy: HeavyKeys | None,
     spread: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join facts to a dimension too large to broadcast.
 
     Rows of heavy keys are spread over ``salts`` tasks by a hash of ``spread``, and
-    only the dimension rows of those keys are repeated to meet them.
+    only the dimension rows of those keys are repeated to meet them. By default there
+    are enough salts to leave about HEAVY_ROWS rows of a key in each task.
     """
     if heavy is None:
         return facts.join(dimension, key, how)
+    salts = salts or max(SALTS, math.ceil(heavy.rows / HEAVY_ROWS))
     marks = heavy.keys().select(F.col("heavy_key").alias(key), F.lit(True).alias("_heavy"))
     salted = (
         facts.join(marks, key, "left")

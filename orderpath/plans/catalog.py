@@ -164,8 +164,8 @@ class Tables:
         )
         n = F.col("_position") - 1
         rows = counted.rows().where(n > 0)
-        shares = {f"p{k}": F.round(F.col(f"_c{k}") / n, 4) for k in range(4)}
-        score = F.round(F.col("digital_prev") / n, 4)
+        shares = {f"p{k}": F.col(f"_c{k}") / n for k in range(4)}
+        score = F.col("digital_prev") / n
         rows = rows.select(
             "order_id",
             C.split_label(F.col("order_date"), ORDER_CUTOFF).alias("period"),
@@ -490,7 +490,9 @@ def q_segment_classes(t: Tables) -> DataFrame:
 
 
 def _customer_periods(matrix: DataFrame) -> DataFrame:
-    return matrix.withColumn("period", C.split_label(F.col("split_date"), CUSTOMER_CUTOFF))
+    """A customer without a split date belongs to neither period."""
+    label = C.split_label(F.col("split_date"), CUSTOMER_CUTOFF)
+    return matrix.withColumn("period", F.when(F.col("split_date").isNotNull(), label))
 
 
 def q_woe(t: Tables) -> DataFrame:

@@ -31,9 +31,9 @@ order_history AS (
     CASE WHEN o.customer_id % 11 = 0 THEN 'N/A' ELSE CAST(1 + o.customer_id % 5 AS VARCHAR) END AS stars_txt,
     substring('LMXJVS', 1, CAST(1 + o.customer_id % 6 AS INT)) AS visit_code
   FROM order_core o
-  JOIN customer ON c_custkey = o.customer_id
-  JOIN nation ON n_nationkey = c_nationkey
-  JOIN region ON r_regionkey = n_regionkey
+  LEFT JOIN customer ON c_custkey = o.customer_id
+  LEFT JOIN nation ON n_nationkey = c_nationkey
+  LEFT JOIN region ON r_regionkey = n_regionkey
   LEFT JOIN lines l ON l.order_id = o.order_id)"""
 )
 
@@ -267,9 +267,9 @@ shares AS (
     + f"""
   FROM placed WINDOW p AS (PARTITION BY customer_id ORDER BY order_date, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 rated AS (
-  SELECT order_id, {PERIOD} AS period, maturity AS segment, ROUND(d / n_prev, 4) AS score,
+  SELECT order_id, {PERIOD} AS period, maturity AS segment, d / n_prev AS score,
     CASE WHEN next_state = 'DIGITAL' THEN 1 ELSE 0 END AS label, code AS label4,
-    ROUND(c0 / n_prev, 4) AS p0, ROUND(c1 / n_prev, 4) AS p1, ROUND(c2 / n_prev, 4) AS p2, ROUND(c3 / n_prev, 4) AS p3
+    c0 / n_prev AS p0, c1 / n_prev AS p1, c2 / n_prev AS p2, c3 / n_prev AS p3
   FROM shares WHERE n_prev > 0),
 scored AS (
   SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction,

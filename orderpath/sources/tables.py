@@ -91,11 +91,11 @@ def order_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with the descriptive columns of its orders."""
     nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
     customer = _table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     balance = F.col("c_acctbal")
-    return customer.join(places, customer.c_nationkey == places.n_nationkey).select(
+    return customer.join(places, customer.c_nationkey == places.n_nationkey, "left").select(
         key.alias("customer_id"),
         F.col("r_name").alias("country"),
         F.col("n_name").alias("sales_region"),
@@ -140,7 +140,7 @@ def order_history(
 ) -> DataFrame:
     """One row per order with its line totals and its customer's attributes.
 
-    Parts nobody asks for are not joined. ``heavy`` lists customers whose orders must
+    An order without a customer, nation or region keeps NULL attributes. Parts nobody asks for are not joined. ``heavy`` lists customers whose orders must
     be spread over several tasks in the customer join.
     """
     orders = order_core(spark, sf_dir)
@@ -149,7 +149,7 @@ def order_history(
         orders = orders.join(lines, "order_id", "left").fillna({"distinct_items": 0, "boxes": 0.0})
     if attributes:
         orders = dimension_join(
-            orders, customer_attributes(spark, sf_dir), "customer_id", heavy, spread=["order_id"]
+            orders, customer_attributes(spark, sf_dir), "customer_id", heavy, spread=["order_id"], how="left"
         )
     return orders.select(*[f.name for f in ORDER_SCHEMA if f.name in orders.columns])
 
