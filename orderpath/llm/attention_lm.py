@@ -238,8 +238,10 @@ class AttentionModel:
         flat = np.concatenate(texts)
         inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         places = inside + np.repeat(offsets[:-1], sizes) + CONTEXT
-        rows[places + 1] = self.input_of[flat]
-        rows[offsets[:-1] + CONTEXT] = INPUTS - 1
+        # The last id of a text is nobody's context: its place + 1 belongs to the next text.
+        inner = np.ones(len(flat), dtype=bool)
+        inner[np.cumsum(sizes) - 1] = False
+        rows[places[inner] + 1] = self.input_of[flat[inner]]
         goals = np.zeros(offsets[-1], dtype=np.int64)
         goals[places] = self.class_of[flat]
         number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)

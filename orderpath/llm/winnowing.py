@@ -70,6 +70,10 @@ def prints(words: Column) -> Column:
     return let(words, lambda w: F.struct(F.size(w).alias("n_words"), let(gram_hashes(w, GRAM), of_hashes).alias("fps")))
 
 
+def grams_of_text(size: int) -> Column:
+    return let(words_of(F.col("text")), lambda w: gram_hashes(w, size))
+
+
 def near_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast what was counted to be small; leave the rest to a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -90,8 +94,7 @@ def diagonals(marked: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     short = items.where((F.col("n_words") > 0) & (F.col("n_words") < WINDOW))
     for size in sorted(r.n_words for r in short.select("n_words").distinct().collect()):
         of_size = short.where(F.col("n_words") == size).select("item_key", "n_words", F.xxhash64("words").alias("fp"))
-        hashes = let(words_of(F.col("text")), lambda w, size=size: gram_hashes(w, size))
-        places = docs.select("row", F.posexplode(hashes).alias("shift", "fp"))
+        places = docs.select("row", F.posexplode(grams_of_text(size)).alias("shift", "fp"))
         found = found.unionByName(places.join(near_side(of_size, of_size.count()), "fp").drop("fp"))
     return found.distinct()
 
