@@ -42,7 +42,7 @@ ROUNDS, WORKERS, BATCH, RATE = 2, 12, 32, 0.01
 PSEUDO, WORD_SHARE = 5.0, 0.6
 HEAVY_WORDS, HEAVY_CHARS = 100_000, 64
 LONG_WORD, END_MARK = 1000, "<|endoftext|>"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 WINDOWS_AT_ONCE = 256
 WORDS_AT_ONCE = 1 << 16
 LIMIT = 80.0
@@ -508,16 +508,15 @@ def score_documents(docs: DataFrame, learned: Learned, json_file: str = JSON_FIL
         vocabulary = load(json_file, rank_file)
         table = WordTable(vocabulary, heavy)
         for batch in batches:
-            texts = [words_of(text) for text in batch.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, held = i, 0
-                while j < len(texts) and held < WORDS_AT_ONCE:
-                    held += len(texts[j]) + 1
-                    j += 1
-                part = score_part(model, table, texts[i:j], end_logs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *part], names)
-                i = j
+            # Only the words of one part are held as objects, not those of the whole batch.
+            texts, part, held, first = batch.column(1), [], 0, 0
+            for i in range(batch.num_rows):
+                part.append(words_of(texts[i].as_py()))
+                held += len(part[-1]) + 1
+                if held >= WORDS_AT_ONCE or i == batch.num_rows - 1:
+                    columns = score_part(model, table, part, end_logs)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), *columns], names)
+                    part, held, first = [], 0, i + 1
 
     schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<double>"
     names = [part.split()[0] for part in schema.split(", ")]
