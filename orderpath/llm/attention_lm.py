@@ -518,7 +518,7 @@ def score_documents(docs: DataFrame, learned: Learned, json_file: str = JSON_FIL
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), *columns], names)
                     part, held, first = [], 0, i + 1
 
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<double>"
+    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<float>"
     names = [part.split()[0] for part in schema.split(", ")]
     scored = document_columns(docs).mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id())
     scored = stage_table(scored, "lm-scored")
@@ -575,7 +575,7 @@ def score_part(model: AttentionModel, table: WordTable, texts: list[list[bytes]]
         pa.array(base),
         pa.array(score),
         pa.ListArray.from_arrays(offsets, words),
-        pa.ListArray.from_arrays(offsets, pa.array(by_word[rare])),
+        pa.ListArray.from_arrays(offsets, pa.array(by_word[rare].astype(np.float32))),
     ]
 
 
