@@ -9,8 +9,10 @@ Classes that agree on all registers of a band are candidates. Every class is fir
 with one representative of each of its buckets (a star, never all pairs). Candidates whose
 likelihood given both sketches and sizes puts their similarity far below the threshold are
 dropped; the others are confirmed on the full sets. Classes of one bucket that are still in
-different components after that are then compared with each other, so no candidate link
-between components is left out. At a similarity of 0.8 a pair shares no band with a chance
+different components after that are candidates too, so no candidate link between components
+is left out. Where these would be many pairs, each set is replaced by its difference to a
+common centre: |x ^ y| is |Dx ^ Dy|, so sets near the centre are linked for certain and sets
+far from it are linked only if their differences share rare elements (prefix filter). At a similarity of 0.8 a pair shares no band with a chance
 below 4e-6, and higher ones with less.
 """
 
@@ -32,6 +34,8 @@ BASE, TOP = 1.01, 8190
 PERCENT = 80
 MARGIN = 6.0
 FAMILIES = 8
+DIRECT_PAIRS = 20_000
+CENTRE_HASHES = 500_000
 BROADCAST_ROWS = 100_000
 PLACES_AT_ONCE = 1024
 MEMO_WORDS = 400_000
@@ -195,16 +199,13 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(work, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets pass 100 * intersection >= PERCENT * union.
-
-    Only the texts of classes in some pair are read and shingled again, one for each class.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
-    wanted = stage_table(wanted.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "wanted")
-    few = near_side(wanted)
+def shingle_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node``, ``hashes`` of the given classes, written; one text of each is read and shingled again."""
+    wanted = stage_table(
+        nodes.join(classes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "wanted"
+    )
     texts = document_columns(docs).withColumn("_text_hash", F.xxhash64("text"))
-    texts = texts.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    texts = texts.join(near_side(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -217,7 +218,15 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 )
 
     sets = texts.select("node", "text").mapInArrow(work, "node long, hashes array<bigint>").dropDuplicates(["node"])
-    sets = stage_table(sets, "shingle-sets")
+    return stage_table(sets, "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs whose full sets pass 100 * intersection >= PERCENT * union.
+
+    Only the texts of classes in some pair are read and shingled again, one for each class.
+    """
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("h_a", "h_b")).cast("long"))
@@ -243,19 +252,86 @@ def star_pairs(bands: DataFrame) -> DataFrame:
     return both.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
 
 
-def cross_pairs(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components: each class outside the bucket's largest
-    component with all classes of the other components there."""
+def mixed_buckets(bands: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``bucket``, ``node``, ``comp`` of buckets that hold several components, and ``bucket``,
+    ``major`` (its largest component), ``few``.
+
+    ``few`` tells whether all buckets of one ``major`` have at most DIRECT_PAIRS pairs of a class
+    outside it with any other.
+    """
     placed = bands.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
-    placed = stage_table(placed.join(mixed_buckets, "bucket"), "mixed-buckets")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
+    placed = stage_table(placed.join(several, "bucket"), "mixed-buckets")
     counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("major"))
-    minor = placed.join(largest, "bucket").where("comp != major").select("bucket", F.col("node").alias("p"), F.col("comp").alias("p_comp"))
+    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    largest = largest.select("bucket", F.col("top.comp").alias("major"), ((F.col("all") - F.col("top.n")) * F.col("all")).alias("pairs"))
+    many = largest.groupBy("major").agg((F.sum("pairs") <= DIRECT_PAIRS).alias("few"))
+    return placed, stage_table(largest.join(many, "major").select("bucket", "major", "few"), "bucket-majors")
+
+
+def cross_pairs(placed: DataFrame, majors: DataFrame) -> DataFrame:
+    """Pairs of one bucket in different components: each class outside the bucket's largest
+    component with all classes of the other components there."""
+    few = majors.where("few").select("bucket", "major")
+    placed = placed.join(few, "bucket")
+    minor = placed.where("comp != major").select("bucket", F.col("node").alias("p"), F.col("comp").alias("p_comp"))
     both = minor.join(placed, "bucket").where("comp != p_comp")
     return both.select(F.greatest("p", "node").alias("a"), F.least("p", "node").alias("b")).distinct()
 
 
+def differences(placed: DataFrame, majors: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``g``, ``node``, ``comp``, ``slack``, ``d``: the classes in buckets of one large group ``g`` and
+    each one's difference ``d`` to the group's centre, the shingles of more than half of its classes.
+
+    A centre has less than twice the shingles of a mean class. ``slack`` is |x| - 9 |d|: two classes
+    are similar by 0.8 when 9 |x ^ y| <= |x| + |y|, for certain when their slacks sum to 0 or more.
+    """
+    members = placed.join(majors.where("not few").select("bucket", F.col("major").alias("g")), "bucket")
+    members = stage_table(members.select("g", "node", "comp").distinct(), "group-members")
+    sets = shingle_sets(members.select("node").distinct(), classes, docs)
+    members = stage_table(members.join(sets, "node"), "group-sets")
+    half = members.groupBy("g").agg((F.count(F.lit(1)) / 2).alias("half"))
+    shares = members.select("g", F.explode("hashes").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
+    centres = shares.join(half, "g").where("n > half").groupBy("g").agg(F.collect_list("e").alias("centre"))
+    centres = stage_table(centres, "centres")
+    size = centres.agg(F.sum(F.size("centre"))).first()[0] or 0
+    both = members.join(F.broadcast(centres) if size <= CENTRE_HASHES else centres, "g", "left")
+    centre = F.coalesce("centre", F.array().cast("array<bigint>"))
+    d = F.concat(F.array_except("hashes", centre), F.array_except(centre, F.col("hashes")))
+    both = both.select("g", "node", "comp", F.size("hashes").alias("n"), d.alias("d"))
+    return stage_table(both.select("g", "node", "comp", (F.col("n") - 9 * F.size("d")).alias("slack"), "d"), "differences")
+
+
+def centre_pairs(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Certain links, and pairs that may be links, of ``differences``; every other pair is none.
+
+    If two slacks sum to 0 or more, both do with the largest slack of the group, so stars at that
+    class hold all certain links. A pair with slacks below that needs -(sum of slacks) / 18 common elements in
+    its differences. With elements in order of their frequency, the first common one lies no nearer
+    to the end than this in either; only such places are joined.
+    """
+    nearest = apart.groupBy("g").agg(F.max(F.struct("slack", "node")).alias("z"))
+    nearest = stage_table(nearest.select("g", F.col("z.slack").alias("z_slack"), F.col("z.node").alias("z")), "nearest")
+    placed = apart.join(near_side(nearest), "g").withColumn("sure", F.col("slack") + F.col("z_slack") >= 0)
+    links = placed.where("sure and node != z").select(F.greatest("node", "z").alias("a"), F.least("node", "z").alias("b"))
+    rim = stage_table(placed.where("not sure").groupBy("g").agg(F.max("slack").alias("rim_slack")), "rims")
+    placed = placed.join(near_side(rim), "g").withColumn("partner", F.when(F.col("sure"), F.col("rim_slack")).otherwise(F.col("z_slack")))
+    placed = placed.withColumn("size", F.size("d")).where("18 * size >= -(slack + partner)")
+    placed = stage_table(placed.select("g", "node", "comp", "slack", "sure", "partner", "size", "d"), "near-enough")
+    rows = placed.select("g", "node", F.explode("d").alias("e"))
+    often = rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"))
+    order = rows.join(often, ["g", "e"]).groupBy("g", "node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
+    places = placed.drop("d").join(order, ["g", "node"]).select("*", F.posexplode("order").alias("pos", "o"))
+    places = places.withColumn("left", F.col("size") - F.col("pos")).where("o.f > 1 and 18 * left >= -(slack + partner)")
+    places = stage_table(places.select("g", F.col("o.e").alias("e"), "node", "comp", "slack", "sure", "left"), "places")
+    x, y = places.where("not sure").alias("x"), places.alias("y")
+    near = 18 * F.least("x.left", "y.left") >= -(F.col("x.slack") + F.col("y.slack"))
+    once = F.col("y.sure") | (F.col("x.node") < F.col("y.node"))
+    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.e") == F.col("y.e"))
+    pairs = x.join(y, same & near & once & (F.col("x.comp") != F.col("y.comp")))
+    return links, pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``comp`` (smallest node reachable) of the nodes in ``links`` (``a`` > ``b``).
 
@@ -302,9 +378,14 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
     tried = stage_table(star_pairs(bands), "star-pairs")
     links = stage_table(confirmed(stage_table(likely_pairs(tried, classes), "likely"), classes, docs), "links")
     labels = components(links)
-    rest = stage_table(likely_pairs(cross_pairs(bands, labels).join(tried, ["a", "b"], "left_anti"), classes), "likely")
-    more = stage_table(confirmed(rest, classes, docs), "links")
-    labels = stage_table(components(links.unionByName(more)), "labels")
+    placed, majors = mixed_buckets(bands, labels)
+    rest, certain = cross_pairs(placed, majors), links.limit(0)
+    if not majors.where("not few").isEmpty():
+        certain, far = centre_pairs(differences(placed, majors, classes, docs))
+        rest = rest.unionByName(far).distinct()
+    rest = rest.join(tried, ["a", "b"], "left_anti")
+    more = stage_table(confirmed(stage_table(likely_pairs(rest, classes), "likely"), classes, docs), "links")
+    labels = stage_table(components(links.unionByName(more).unionByName(certain)), "labels")
     named = sketched.drop("sketch", "check").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = stage_table(named, "named")
     smallest = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))

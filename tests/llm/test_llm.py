@@ -186,13 +186,16 @@ def shingles(text):
     return {tuple(words[i : i + 2]) for i in range(max(1, len(words) - 1))} if words else set()
 
 
-def test_near_dedup(spark, empty):
+@pytest.mark.parametrize(("direct", "edits"), [(20_000, 9), (0, 9), (0, 24)])
+def test_near_dedup(spark, empty, monkeypatch, direct, edits):
+    """By pairs, and by differences to a centre, with and without sets at its rim."""
+    monkeypatch.setattr(setsketch, "DIRECT_PAIRS", direct)
     r = random.Random(5)
     base = [r.choice(WORDS) for _ in range(120)]
     texts = []
     for k in range(160):
         words = list(base) if k < 110 else [r.choice(WORDS) for _ in range(r.randint(0, 80))]
-        for _ in range(r.randint(0, 9)):
+        for _ in range(r.randint(0, edits)):
             if words:
                 words[r.randrange(len(words))] = r.choice(WORDS)
         texts.append(" ".join(words))
