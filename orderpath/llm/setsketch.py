@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -279,6 +280,18 @@ def cross_pairs(placed: DataFrame, majors: DataFrame) -> DataFrame:
     return both.select(F.greatest("p", "node").alias("a"), F.least("p", "node").alias("b")).distinct()
 
 
+def counted_hashes(members: DataFrame) -> DataFrame:
+    """``g``, ``e``, ``n``: how many sets of group ``g`` hold ``e``, summed within each batch only."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.table([batch.column(0).take(pc.list_parent_indices(batch.column(1))), pc.list_flatten(batch.column(1))], ["g", "e"])
+            counts = rows.group_by(["g", "e"]).aggregate([([], "count_all")])
+            yield from counts.select(["g", "e", "count_all"]).rename_columns(["g", "e", "n"]).to_batches()
+
+    return members.select("g", "hashes").mapInArrow(work, "g long, e long, n long")
+
+
 def differences(placed: DataFrame, majors: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``g``, ``node``, ``comp``, ``slack``, ``d``: the classes in buckets of one large group ``g`` and
     each one's difference ``d`` to the group's centre, the shingles of more than half of its classes.
@@ -290,9 +303,9 @@ def differences(placed: DataFrame, majors: DataFrame, classes: DataFrame, docs:
     members = stage_table(members.select("g", "node", "comp").distinct(), "group-members")
     sets = shingle_sets(members.select("node").distinct(), classes, docs)
     members = stage_table(members.join(sets, "node"), "group-sets")
-    half = members.groupBy("g").agg((F.count(F.lit(1)) / 2).alias("half"))
-    shares = members.select("g", F.explode("hashes").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
-    centres = shares.join(half, "g").where("n > half").groupBy("g").agg(F.collect_list("e").alias("centre"))
+    half = stage_table(members.groupBy("g").agg((F.count(F.lit(1)) / 2).alias("half")), "halves")
+    shares = counted_hashes(members).groupBy("g", "e").agg(F.sum("n").alias("n"))
+    centres = shares.join(near_side(half), "g").where("n > half").groupBy("g").agg(F.collect_list("e").alias("centre"))
     centres = stage_table(centres, "centres")
     size = centres.agg(F.sum(F.size("centre"))).first()[0] or 0
     both = members.join(F.broadcast(centres) if size <= CENTRE_HASHES else centres, "g", "left")
