@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderpath.llm.common import document_columns
+from orderpath.llm.common import document_columns, small_batches, texts_of
 from orderpath.llm.vocab import JSON_FILE, RANK_FILE, load
 
 
@@ -23,7 +23,7 @@ def encode_documents(docs: DataFrame, json_file: str = JSON_FILE, rank_file: str
         vocabulary = load(json_file, rank_file)
         for batch in batches:
             ids, decoded = [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts_of(batch.column(1)):
                 tokens = vocabulary.encode(text)
                 ids.append(tokens.tobytes())
                 decoded.append(vocabulary.decode(tokens))
@@ -31,7 +31,7 @@ def encode_documents(docs: DataFrame, json_file: str = JSON_FILE, rank_file: str
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
             )
 
-    return document_columns(docs).mapInArrow(work, "doc_id long, ids binary, decoded string")
+    return document_columns(small_batches(docs)).mapInArrow(work, "doc_id long, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

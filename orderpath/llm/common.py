@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from orderpath.session import stage_table
 
-__all__ = ["document_columns", "fold", "labelled_sample", "map_batches", "read_table", "stage_table"]
+__all__ = ["document_columns", "fold", "labelled_sample", "map_batches", "read_table", "small_batches", "stage_table", "texts_of"]
 
 ID, TEXT = "doc_id", "text"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,19 @@ def document_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col(ID).cast("long").alias(ID), F.coalesce(F.col(TEXT), F.lit("")).alias(TEXT))
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; the session hands whole texts to Python at most TEXT_ROWS at a time, not the usual 10,000."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_ROWS)) <= TEXT_ROWS:
+        conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    return docs
+
+
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch one after another, never all of them as Python strings."""
+    return (value.as_py() for value in column)
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32(doc_id as text) mod ``parts``; a null id counts as the empty string."""
     return (F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts).cast("int")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderpath.llm.common import document_columns, fold, labelled_sample
+from orderpath.llm.common import document_columns, fold, labelled_sample, small_batches, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = re.compile("[\"“”„«»]")
@@ -38,7 +38,7 @@ MOST_WEIGHT = 40.0
 DISTANCE, FUZZY_CHARS, FUZZY_WEIGHT = 1, 5, 0.85
 QUOTED_WEIGHT, REPORTED_WEIGHT = 0.3, 0.5
 WINDOW_WORDS = 4
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 FEATURES = 8
 
 
@@ -241,7 +241,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, int
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vocabulary = {w for text in batch.column(0).to_pylist() for w in WORD.findall(text.lower())}
+                vocabulary = {w for text in texts_of(batch.column(0)) for w in WORD.findall(text.lower())}
                 near = [w for w in vocabulary if lexicon.may_be_near(w) and w not in lexicon.words and lexicon.near(w)]
                 yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["word"])
 
@@ -275,10 +275,10 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [lexicon.score(text) for text in batch.column(1).to_pylist()]
+            scores = [lexicon.score(text) for text in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return document_columns(docs).mapInArrow(work, "doc_id long, score double")
+    return document_columns(small_batches(docs)).mapInArrow(work, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
@@ -291,7 +291,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> Dat
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            keep = [text is None or lexicon.score(text) < threshold for text in batch.column(at).to_pylist()]
+            keep = [text is None or lexicon.score(text) < threshold for text in texts_of(batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return small_batches(docs).mapInArrow(work, docs.schema)

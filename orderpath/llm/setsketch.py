@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderpath.llm.common import document_columns, stage_table
+from orderpath.llm.common import document_columns, small_batches, stage_table, texts_of
 
 REGISTERS, ROWS = 252, 6
 BANDS = REGISTERS // ROWS
@@ -39,7 +39,7 @@ DIRECT_PAIRS = 20_000
 CENTRE_HASHES = 500_000
 BROADCAST_ROWS = 100_000
 PLACES_AT_ONCE = 1024
-MEMO_WORDS = 400_000
+MEMO_WORDS = 50_000
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 32, size=(2, REGISTERS), dtype=np.uint32)
 XOR, ODD = SEEDS[0], SEEDS[1] | np.uint32(1)
 BAND_FACTORS = np.random.default_rng(3).integers(1, 1 << 63, size=ROWS, dtype=np.uint64) | np.uint64(1)
@@ -135,7 +135,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
         shingles = Shingler()
         for batch in batches:
             sizes, nodes, checks, sketches = [], [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in texts_of(batch.column(2)):
                 hashes = shingles(text)
                 sizes.append(len(hashes))
                 if len(hashes):
@@ -151,7 +151,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text_hash", "n_shingles", "node", "check", "sketch"],
             )
 
-    rows = document_columns(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = document_columns(small_batches(docs)).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(work, "doc_id long, text_hash long, n_shingles long, node long, check long, sketch binary")
 
 
@@ -211,7 +211,7 @@ def shingle_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
-            sets = [shingles(text).view(np.int64) for text in batch.column(1).to_pylist()]
+            sets = [shingles(text).view(np.int64) for text in texts_of(batch.column(1))]
             if sets:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
