@@ -2,7 +2,7 @@
 
 The ids are defined by the tokenizers library and its JSON file. The library encodes about
 1.2 MB of text a second and core; tiktoken over the rank file of the same vocabulary gives
-the same ids six times faster (``tests/llm/test_vocab.py`` compares them on every Unicode
+the same ids six times faster (``tests/llm/test_llm.py`` compares them on every Unicode
 code point, on special tokens and on random text). Both files are parameters.
 
 One unsplit piece of text (a pre-token, such as a run of letters) has to be merged as a

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from orderpath.llm import attention_lm, bpe_tree, byte_cnn, feistel, heavy_dedup, id_files, lexicon, setsketch, token_spans, winnowing
+from orderpath.llm.common import BATCH_ROWS, TEXT_ROWS, small_batches
 from orderpath.llm.vocab import END_TOKEN, JSON_FILE, Vocabulary, load
 
 LIBRARY = Tokenizer.from_file(JSON_FILE)
@@ -65,6 +66,16 @@ def test_encode_equals_the_library():
         assert vocabulary.decode(ids) == text
 
 
+def test_every_code_point_encodes_as_in_the_library():
+    """Each code point stands alone, between letters and behind a space."""
+    vocabulary = load()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        texts = [f"{c} a{c}b {c}" for c in points[i : i + 20_000]]
+        for text, encoding in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False)):
+            assert vocabulary.encode(text).tolist() == encoding.ids, text
+
+
 @pytest.mark.parametrize("leaf", [1, 3, 7, 40])
 def test_tree_concatenation(leaf):
     vocabulary = Vocabulary(leaf_chars=leaf)
@@ -75,6 +86,17 @@ def test_tree_concatenation(leaf):
         assert vocabulary.encode(" " + piece + "  " + piece).tolist() == ids_of(" " + piece + "  " + piece)
 
 
+def test_texts_reach_python_in_small_batches(spark):
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        for given, used in (("10000", str(TEXT_ROWS)), ("0", str(TEXT_ROWS)), ("100", "100")):
+            spark.conf.set(BATCH_ROWS, given)
+            small_batches(spark.range(1))
+            assert spark.conf.get(BATCH_ROWS) == used
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def test_op2_digests(docs, empty):
     rows = bpe_tree.digests(bpe_tree.encode_documents(docs)).collect()
     assert len(rows) == docs.count()
