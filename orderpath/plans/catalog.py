@@ -495,6 +495,13 @@ def _customer_periods(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("period", F.when(F.col("split_date").isNotNull(), label))
 
 
+def q_balance_customers(t: Tables) -> DataFrame:
+    matrix = _customer_periods(t.customers).where(F.col("period").isNotNull()).select(
+        "period", "target", F.coalesce(C.ordinal(F.col("maturity"), C.MATURITY_CODES), F.lit(0)).alias("maturity_val")
+    )
+    return tidy(P.balance_report(matrix, "period", ["target", "maturity_val"]))
+
+
 def q_woe(t: Tables) -> DataFrame:
     columns = ["customer_id", *WOE_VARIABLES, "target", "period"]
     matrix = stage_table(tidy(_customer_periods(t.customers).select(*columns)), "matrix")
@@ -670,6 +677,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "binary_targets": q_targets,
     "temporal_split": q_split,
     "split_balance": q_balance,
+    "split_balance_customers": q_balance_customers,
     "order_gaps": running("days_since_prev"),
     "prior_counts": running("n_prev", earlier=True),
     "prior_measure_stats": q_measure_stats,

@@ -485,6 +485,15 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT period, 'target', target, COUNT(*), ROUND(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY period), 6) FROM m GROUP BY period, target
       UNION ALL SELECT period, 'maturity_val', maturity_val, COUNT(*), ROUND(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY period), 6)
       FROM m GROUP BY period, maturity_val""",
+    "split_balance_customers": f"""WITH {CUSTOMER2}, m AS (
+        SELECT CAST(t.target AS VARCHAR) AS target, CAST(COALESCE({MATURITY}, 0) AS VARCHAR) AS maturity_val,
+          CASE WHEN history_date < DATE '2001-06-01' THEN 'TRAIN' ELSE 'TEST' END AS period
+        FROM features f JOIN targets t ON t.customer_id = f.customer_id WHERE history_date IS NOT NULL)
+      SELECT 'ALL' AS period, 'period' AS variable, period AS level, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share
+      FROM m GROUP BY m.period
+      UNION ALL SELECT period, 'target', target, COUNT(*), ROUND(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY period), 6) FROM m GROUP BY period, target
+      UNION ALL SELECT period, 'maturity_val', maturity_val, COUNT(*), ROUND(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY period), 6)
+      FROM m GROUP BY period, maturity_val""",
     "order_gaps": f"WITH {SEQ_FULL} SELECT order_id, CAST(order_date - prev_date AS INT) AS days_since_prev FROM placed",
     "prior_counts": f"WITH {SEQ_FULL} SELECT order_id, CAST(n_prev AS INT) AS n_prev FROM placed WHERE n_prev > 0",
     "prior_measure_stats": f"""WITH {RUNNING} SELECT order_id, {_round0('billed_mean_prev')}, {_round0('billed_sum_prev')},
