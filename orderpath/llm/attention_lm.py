@@ -7,8 +7,9 @@ the training documents:
 * word counts, by a shuffle over every word of every training document;
 * counts of ids, and of which class follows which id, from the BPE ids of each distinct word
   times its count; they are the network's starting point;
-* the weights of the network, from windows drawn at random places in proportion to the text.
-  Workers train on their own share and their weights are averaged each round.
+* the weights of the network, from windows that cover the text: every id, and every end, is
+  predicted in one of them. Each round takes its share of the documents; workers train on
+  windows dealt to them by a hash and their weights are averaged.
 
 The network predicts a class of ids: frequent ids have a class each, the others share
 classes by their first character, and an id inside its class has its share of the counts.
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from orderpath.llm.common import document_columns, fold, stage_table
 from orderpath.llm.vocab import END_ID, JSON_FILE, RANK_FILE, Vocabulary, load
 
-SIZE, CLASSES, OWN_CLASSES, INPUTS = 16, 96, 72, 1024
-WINDOW, CONTEXT = 20, 4
-EVERY_WORDS, WINDOW_WORDS = 1024, 24
+SIZE, CLASSES, OWN_CLASSES, INPUTS = 16, 128, 96, 1024
+WINDOW, CONTEXT = 24, 8
+START_ID = 0xFFFF
 ROUNDS, WORKERS, BATCH, RATE = 2, 12, 32, 0.01
 PSEUDO, WORD_SHARE = 5.0, 0.6
 HEAVY_WORDS, HEAVY_CHARS = 100_000, 64
@@ -208,6 +209,41 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+@dataclass
+class Spelled:
+    """Word numbers of texts (-1 for the end of each), which are ends, how many ids each word has, all ids, ids of each text."""
+
+    numbers: np.ndarray
+    last: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+    text_sizes: np.ndarray
+
+
+def spell(table: WordTable, texts: list[list[bytes]]) -> Spelled:
+    counts = np.array([len(words) for words in texts])
+    numbers = table.numbers([word for words in texts for word in words])
+    ends = np.cumsum(counts)
+    # The end of a text is one more word, numbered -1.
+    numbers = np.insert(numbers, ends, -1)
+    last = numbers < 0
+    sizes = np.where(last, 1, table.sizes[numbers])
+    ids = table.ids[ranges(table.starts[numbers], sizes)].astype(np.int64)
+    ids[(np.cumsum(sizes) - sizes)[last]] = END_ID
+    return Spelled(numbers, last, sizes, ids, np.add.reduceat(sizes, ends - counts + np.arange(len(texts))))
+
+
+def text_parts(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """First row and words of parts of a batch; only the words of one part are held as objects."""
+    part, held, first = [], 0, 0
+    for i in range(len(texts)):
+        part.append(words_of(texts[i].as_py()))
+        held += len(part[-1]) + 1
+        if held >= WORDS_AT_ONCE or i == len(texts) - 1:
+            yield first, part
+            part, held, first = [], 0, i + 1
+
+
 # ---------------------------------------------------------------- network
 
 
@@ -380,49 +416,57 @@ def place_ids(counts: np.ndarray, token_bytes: list[bytes]) -> tuple[np.ndarray,
     return input_of, class_of, log_share, np.log((in_class + 0.5) / (in_class + 0.5).sum())
 
 
-def draw_windows(docs: DataFrame, every: int, input_of: np.ndarray, class_of: np.ndarray, json_file: str, rank_file: str) -> DataFrame:
-    """``worker``, ``at``, ``rows``, ``goals``: windows at hashed places, one for ``every`` words on average."""
+def of_round(docs: DataFrame, i: int) -> DataFrame:
+    """The documents of round ``i``; every row is in one round."""
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == i)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load(json_file, rank_file)
-        for batch in batches:
-            out: list[tuple[int, bytes, bytes]] = []
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                rng = np.random.default_rng(zlib.crc32(text.encode()))
-                for _ in range(int((len(words) + 1) / every + rng.random())):
-                    at = int(rng.integers(0, len(words) + 1))
-                    span = words[at : at + WINDOW_WORDS]
-                    ids = [vocabulary.encode(" " + b" ".join(span).decode())] if span else []
-                    if at + WINDOW_WORDS > len(words):
-                        ids.append(np.array([END_ID]))
-                    flat = np.concatenate(ids)[:WINDOW].astype(np.int64)
-                    before = INPUTS - 1 if at == 0 else input_of[vocabulary.encode(" " + words[at - 1].decode())[-1]]
-                    pad = CONTEXT if at == 0 else 0
-                    rows = np.concatenate([np.full(pad, INPUTS - 1), [before], input_of[flat[:-1]]])[:WINDOW].astype("<i4")
-                    goals = np.concatenate([np.full(pad, -1), class_of[flat]])[:WINDOW].astype("<i2")
-                    out.append((int(rng.integers(1 << 62)), rows.tobytes(), goals.tobytes()))
-            if out:
-                at, rows, goals = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int64()), pa.array(rows, pa.binary()), pa.array(goals, pa.binary())], ["at", "rows", "goals"]
-                )
-
-    return docs.select("text").mapInArrow(work, "at long, rows binary, goals binary")
 
+def draw_windows(docs: DataFrame, json_file: str, rank_file: str) -> DataFrame:
+    """``at``, ``ids``: windows that cover the documents, at hashed places in the order of training.
 
-def padded(batches: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = np.full((len(batches), WINDOW), INPUTS - 1, dtype=np.int32)
-    goals = np.zeros((len(batches), WINDOW), dtype=np.int64)
-    real = np.zeros((len(batches), WINDOW), dtype=np.float32)
-    for i, (row, goal) in enumerate(batches):
-        n = len(row) // 4
-        rows[i, :n], goals[i, :n] = np.frombuffer(row, "<i4"), np.frombuffer(goal, "<i2")
-        real[i, :n] = goals[i, :n] >= 0
-    return rows, np.maximum(goals, 0), real
-
+    ``ids`` holds the id before the window and its WINDOW ids as two bytes each; START_ID stands
+    for the CONTEXT start symbols of a text, which has its first id after them, and fills up its last window.
+    """
 
-def average_round(windows: DataFrame, w: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(load(json_file, rank_file), {})
+        for batch in batches:
+            for first, part in text_parts(batch.column(1)):
+                keys = batch.column(0).slice(first, len(part)).to_pylist()
+                windows, counts = cover(spell(table, part))
+                # Copies have windows alike; with the id in the seed they do not meet in one worker.
+                seeds = [[zlib.crc32(b" ".join(words)), (key or 0) % (1 << 63)] for words, key in zip(part, keys)]
+                at = np.concatenate([np.random.default_rng(seed).integers(1 << 62, size=n) for seed, n in zip(seeds, counts)])
+                data = pa.py_buffer(windows.astype("<u2").tobytes())
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * (WINDOW + 1)), len(windows), [None, data])
+                yield pa.RecordBatch.from_arrays([pa.array(at), fixed.cast(pa.binary())], ["at", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "at long, ids binary")
+
+
+def cover(spelled: Spelled) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of all texts, one after the other, and how many each text has."""
+    sizes = spelled.text_sizes
+    counts = -(-(sizes + CONTEXT) // WINDOW)
+    offsets = np.cumsum(counts) - counts
+    goals = np.full((counts.sum(), WINDOW), START_ID, dtype=np.int64)
+    goals.ravel()[ranges(offsets * WINDOW + CONTEXT, sizes)] = spelled.ids
+    before = np.concatenate([[START_ID], goals[:-1, -1]])
+    before[offsets] = START_ID
+    return np.column_stack([before, goals]), counts
+
+
+def placed(ids: np.ndarray, input_of: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input rows, goals and real places of windows."""
+    start = ids == START_ID
+    known = np.where(start, 0, ids)
+    rows = np.where(start, INPUTS - 1, input_of[known])[:, :-1].astype(np.int32)
+    return rows, class_of[known][:, 1:].astype(np.int64), (~start[:, 1:]).astype(np.float32)
+
+
+def average_round(
+    windows: DataFrame, w: dict[str, np.ndarray], rate: float, input_of: np.ndarray, class_of: np.ndarray
+) -> dict[str, np.ndarray]:
     """Each worker trains from ``w`` on its windows; the weights are averaged by windows seen."""
     names = list(w)
 
@@ -430,8 +474,8 @@ def average_round(windows: DataFrame, w: dict[str, np.ndarray], rate: float) ->
         state, seen = w, 0
         for batch in batches:
             if batch.num_rows:
-                rows, goals, real = padded(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
-                state, seen = train_worker(state, rows, goals, real, rate), seen + batch.num_rows
+                ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(-1, WINDOW + 1)
+                state, seen = train_worker(state, *placed(ids, input_of, class_of), rate), seen + batch.num_rows
         if seen:
             blob = np.concatenate([state[k].ravel() for k in names]).astype("<f4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([blob], pa.binary())], ["seen", "blob"])
@@ -445,7 +489,7 @@ def average_round(windows: DataFrame, w: dict[str, np.ndarray], rate: float) ->
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["seen", "blob"])
 
     # One set of weights per worker meets in one task; one returns to the driver.
-    trained = windows.select("rows", "goals").mapInArrow(work, "seen long, blob binary")
+    trained = windows.select("ids").mapInArrow(work, "seen long, blob binary")
     results = trained.repartition(1).mapInArrow(average, "seen long, blob binary")
     results = results.collect()
     if not results:
@@ -466,7 +510,7 @@ class Learned:
     distinct_tokens: int
 
 
-def learn(train: DataFrame, every: int = EVERY_WORDS, json_file: str = JSON_FILE, rank_file: str = RANK_FILE) -> Learned:
+def learn(train: DataFrame, json_file: str = JSON_FILE, rank_file: str = RANK_FILE) -> Learned:
     """Counts and network of the training documents (``doc_id``, ``text`` without nulls)."""
     words = stage_table(count_words(train), "word-counts")
     ends = train.count()
@@ -474,13 +518,12 @@ def learn(train: DataFrame, every: int = EVERY_WORDS, json_file: str = JSON_FILE
     counts = count_ids(words, json_file, rank_file)
     counts[END_ID] += ends
     input_of, class_of, log_share, class_share = place_ids(counts, load(json_file, rank_file).token_bytes)
-    windows = draw_windows(train, every, input_of, class_of, json_file, rank_file)
-    windows = stage_table(windows.repartition(WORKERS, "at").sortWithinPartitions("at"), "lm-windows")
-    dealt = windows.repartitionByRange(WORKERS, "at").sortWithinPartitions("at")
     follows = count_transitions(words, input_of, class_of, json_file, rank_file)
     weights = start_weights(starting_table(follows, class_share, ends, int(class_of[END_ID])))
     for i in range(ROUNDS):
-        weights = average_round(dealt, weights, RATE * (1 - i / ROUNDS))
+        windows = draw_windows(of_round(train, i), json_file, rank_file)
+        dealt = windows.repartition(WORKERS, "at").sortWithinPartitions("at")
+        weights = average_round(dealt, weights, RATE * (1 - i / ROUNDS), input_of, class_of)
     return Learned(AttentionModel(weights, input_of, class_of, log_share), words, (total.n or 0) + ends, total.v + (ends > 0))
 
 
@@ -508,15 +551,9 @@ def score_documents(docs: DataFrame, learned: Learned, json_file: str = JSON_FIL
         vocabulary = load(json_file, rank_file)
         table = WordTable(vocabulary, heavy)
         for batch in batches:
-            # Only the words of one part are held as objects, not those of the whole batch.
-            texts, part, held, first = batch.column(1), [], 0, 0
-            for i in range(batch.num_rows):
-                part.append(words_of(texts[i].as_py()))
-                held += len(part[-1]) + 1
-                if held >= WORDS_AT_ONCE or i == batch.num_rows - 1:
-                    columns = score_part(model, table, part, end_logs)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), *columns], names)
-                    part, held, first = [], 0, i + 1
+            for first, part in text_parts(batch.column(1)):
+                columns = score_part(model, table, part, end_logs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), *columns], names)
 
     schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<float>"
     names = [part.split()[0] for part in schema.split(", ")]
@@ -548,17 +585,11 @@ def score_part(model: AttentionModel, table: WordTable, texts: list[list[bytes]]
     with the log10 probability that the network gives their ids."""
     counts = np.array([len(words) for words in texts])
     flat = [word for words in texts for word in words]
-    numbers = table.numbers(flat)
     ends = np.cumsum(counts)
-    # The end of a text is one more word, numbered -1.
-    numbers = np.insert(numbers, ends, -1)
-    last = numbers < 0
-    sizes = np.where(last, 1, table.sizes[numbers])
-    ids = table.ids[ranges(table.starts[numbers], sizes)].astype(np.int64)
-    firsts = np.cumsum(sizes) - sizes
-    ids[firsts[last]] = END_ID
-    text_sizes = np.add.reduceat(sizes, ends - counts + np.arange(len(texts)))
-    by_word = np.add.reduceat(model.score(np.split(ids, np.cumsum(text_sizes)[:-1])), firsts) / LOG10
+    spelled = spell(table, texts)
+    numbers, last = spelled.numbers, spelled.last
+    firsts = np.cumsum(spelled.sizes) - spelled.sizes
+    by_word = np.add.reduceat(model.score(np.split(spelled.ids, np.cumsum(spelled.text_sizes)[:-1])), firsts) / LOG10
     logs = table.logs[numbers]
     logs[last] = end_logs
     rare = np.isnan(logs[:, 0])

@@ -408,6 +408,29 @@ def test_attention_probabilities_sum_to_one_and_do_not_depend_on_the_batch():
     assert np.allclose(model.score(changed)[: -50], together[: -50])
 
 
+def test_training_windows_cover_the_text(docs, empty):
+    """Every id of every row, and its end, is a goal once; long documents are not sampled."""
+    assert attention_lm.WINDOW >= 24 and attention_lm.CONTEXT >= 8 and attention_lm.CLASSES >= 128
+    rows = attention_lm.document_columns(docs)
+    parts = [attention_lm.of_round(rows, i) for i in range(attention_lm.ROUNDS)]
+    assert sum(part.count() for part in parts) == rows.count()
+    seen, starts = Counter(), 0
+    for part in parts:
+        for r in attention_lm.draw_windows(part, attention_lm.JSON_FILE, attention_lm.RANK_FILE).collect():
+            ids = np.frombuffer(bytes(r.ids), "<u2")
+            assert len(ids) == attention_lm.WINDOW + 1
+            goals = ids[1:][ids[1:] != attention_lm.START_ID]
+            seen.update(goals.tolist())
+            starts += ids[0] == attention_lm.START_ID and (ids[1 : attention_lm.CONTEXT + 1] == attention_lm.START_ID).all()
+    expected = Counter()
+    for r in rows.collect():
+        words = attention_lm.words_of(r.text)
+        expected.update(attention_lm.encode_words(load(), words)[0].tolist() if words else [])
+        expected[attention_lm.END_ID] += 1
+    assert seen == expected and starts == rows.count()
+    assert attention_lm.draw_windows(attention_lm.document_columns(empty), attention_lm.JSON_FILE, attention_lm.RANK_FILE).count() == 0
+
+
 def test_attention_gradients():
     r = np.random.default_rng(0)
     w = attention_lm.start_weights(0.1 * r.standard_normal((attention_lm.INPUTS, attention_lm.CLASSES)).astype(np.float32))
