@@ -219,17 +219,22 @@ def choose_entries(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean
     return words, stems
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """Of the rows of a label with the same text, up to case and white space, that of the smallest id."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))
+    keyed = sample.withColumn("_copy", F.sha2(plain, 256)).cache()
+    firsts = keyed.groupBy("_copy", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return keyed.join(F.broadcast(firsts), "doc_id", "left_semi").drop("_copy")
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, int] | None = None) -> Lexicon:
     """Learn from labelled rows with crc32(doc_id) mod 3 other than 1, at most ``sample_rows`` of each class.
 
-    Copies inflate counts, so of documents with the same two smallest word hashes one is used.
+    Copies inflate counts, so of documents with the same text, up to case and white space, one is used.
     """
     keep = fold(F.col("doc_id"), 3) != 1
     sample = labelled_sample(docs, labels, "toxic", keep, sample_rows or SAMPLE_ROWS)
-    hashes = F.transform(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda w: F.xxhash64(w))
-    sample = sample.withColumn("_copy", F.slice(F.array_sort(hashes), 1, 2)).cache()
-    firsts = sample.groupBy("_copy", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sample = sample.join(F.broadcast(firsts), "doc_id", "left_semi").drop("_copy").cache()
+    sample = without_copies(sample).cache()
     try:
         size = dict(sample.groupBy("label").count().collect())
         n_toxic, n_clean = size.get(1, 0), size.get(0, 0)

@@ -351,6 +351,16 @@ def test_toxicity(labelled, empty):
     assert lexicon.score_documents(empty, lex).count() == 0
 
 
+def test_only_true_copies_leave_the_sample(spark):
+    """Texts that share frequent words and nothing else all train."""
+    common = " ".join(f"w{i}" for i in range(40))
+    texts = [f"{common} topic{i} other{i}" for i in range(50)]
+    rows = [(i, text, i % 2) for i, text in enumerate(texts)]
+    rows += [(100, texts[0].upper().replace(" ", " \n") + " ", 0), (101, texts[0], 1)]
+    left = lexicon.without_copies(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert {r.doc_id for r in left.collect()} == {*range(50), 101}
+
+
 def test_byte_network(labelled, empty):
     docs, labels = labelled
     keep = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
