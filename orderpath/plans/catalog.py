@@ -66,8 +66,6 @@ VIF_PAIR = ["digital_share_prev", "is_digital"]
 OTHER_ROUTE = "OTHER_ROUTE"
 # Users have up to 99 events: a mean of cents over 64 rows ends in a 5 at the seventh digit.
 EVENT_DIGITS = 8
-TREES = 20
-CLASS_TREES = 8
 
 
 def tidy(df: DataFrame, types: Mapping[str, str] | None = None, digits: int = 6, std_digits: int = 4) -> DataFrame:
@@ -534,10 +532,6 @@ def q_woe_logistic(t: Tables) -> DataFrame:
     return evaluation(scored, "target", {0: "score_0", 1: "score"})
 
 
-def _boost(settings: BoostSettings, trees: int) -> BoostSettings:
-    return BoostSettings(**{**settings.__dict__, "trees": trees})
-
-
 def _customer_model(t: Tables):
     # Read for fitting and again for scoring.
     matrix = stage_table(_customer_periods(t.customers), "matrix")
@@ -546,7 +540,7 @@ def _customer_model(t: Tables):
         "target",
         "split_date",
         ["customer_id", "period"],
-        _boost(WEIGHTED, TREES),
+        WEIGHTED,
         written=True,
     )
     return matrix, model
@@ -582,7 +576,7 @@ def _class_model(t: Tables, settings: BoostSettings) -> DataFrame:
         "target",
         "order_date",
         ["customer_id", "order_id", "period"],
-        _boost(settings, CLASS_TREES),
+        settings,
         written=True,
     )
     return evaluation(model.transform(matrix), "target", model.score_columns())
@@ -603,7 +597,7 @@ def q_boosted_customer_classes(t: Tables) -> DataFrame:
         "target",
         "split_date",
         ["customer_id", "period"],
-        _boost(WEIGHTED, CLASS_TREES),
+        WEIGHTED,
         written=True,
     )
     return evaluation(model.transform(matrix), "target", model.score_columns())
