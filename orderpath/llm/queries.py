@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpath.llm import attention_lm, bpe_tree, byte_cnn, feistel, heavy_dedup, id_files, lexicon, merkle, setsketch, token_spans, winnowing
+from orderpath.llm import attention_lm, bpe_tree, byte_cnn, feistel, heavy_dedup, id_files, lexicon, merkle, setsketch, token_spans, whitening, winnowing
 from orderpath.llm.common import fold, read_table
 from orderpath.session import shared_dir
 
@@ -73,6 +73,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     rows = merkle.manifest(documents(spark, sf_dir), tampered, {"text": merkle.lowered(F.col("text"))})
@@ -95,6 +99,7 @@ QUERIES = {
     "op8_winnowing": op8,
     "op9_lexicon_toxicity": op9,
     "op10_feistel_shards": op10,
+    "op11_lanczos_whitening": op11,
     "op13_merkle_manifest": op13,
 }
 
