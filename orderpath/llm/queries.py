@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpath.llm import attention_lm, bpe_tree, byte_cnn, feistel, heavy_dedup, id_files, lexicon, merkle, setsketch, token_spans, whitening, winnowing
+from orderpath.llm import attention_lm, bpe_tree, byte_cnn, feistel, heavy_dedup, id_files, lexicon, merkle, phrase_automata, setsketch, token_spans, whitening, winnowing
 from orderpath.llm.common import fold, read_table
 from orderpath.session import shared_dir
 
@@ -77,6 +77,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrase_automata.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     rows = merkle.manifest(documents(spark, sf_dir), tampered, {"text": merkle.lowered(F.col("text"))})
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_lexicon_toxicity": op9,
     "op10_feistel_shards": op10,
     "op11_lanczos_whitening": op11,
+    "op12_phrase_automata": op12,
     "op13_merkle_manifest": op13,
 }
 
