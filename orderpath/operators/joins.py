@@ -117,15 +117,18 @@ def lookup_join(
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
     written: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join a per-group table back to the rows it describes.
 
-    The table is written once (unless it is cheap to read: ``written``) and counted. Up
+    The table is written once (unless it is cheap to read: ``written``) and counted (unless
+    the caller knows its ``rows``). Up
     to ``max_rows`` it is broadcast, so the facts are not shuffled at all; beyond that
     both sides are salted, so no group has to fit in one task.
     """
     table = table if written else stage_table(table, "lookup")
-    if table.limit(max_rows + 1).count() <= max_rows:
+    rows = table.limit(max_rows + 1).count() if rows is None else rows
+    if rows <= max_rows:
         return facts.join(F.broadcast(table), list(keys), how)
     salted = facts.withColumn("_salt", _salt(spread, salts))
     repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -340,7 +340,7 @@ def q_lumping(t: Tables) -> DataFrame:
 def q_category_codes(t: Tables) -> DataFrame:
     rows = fill_missing(t.described, X.ATTRIBUTES, [])
     model = category_indexer(rows.where(F.col("order_date") < F.lit(ORDER_CUTOFF).cast("date")), X.ATTRIBUTES)
-    return model.transform(rows).select(
+    return model.transform(rows, ["order_id"]).select(
         "order_id", *[F.col(f"{c}_code").cast("int").alias(f"{c}_code") for c in X.ATTRIBUTES]
     )
 

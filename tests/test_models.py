@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderpath.modeling import metrics as M
-from orderpath.modeling import boosting
 from orderpath.modeling.boosting import WEIGHTED, BoostSettings, fit_boosted
 from orderpath.plans import catalog
 from orderpath.modeling.features import balanced, category_indexer, validation_slice
@@ -36,20 +35,6 @@ def test_boosted_multiclass(planted):  # noqa: F811
     assert {r[0] for r in scored.select("prediction").distinct().collect()} == {0, 1, 2}
 
 
-def test_patience_ends_the_forest_not_the_block(planted, monkeypatch):  # noqa: F811
-    train = planted.drop("copy")
-    settings = BoostSettings(trees=12, step=0.3, depth=3, min_rows=20, patience=1)
-    blocks = fit_boosted(train, "target", "day", ["id"], settings).forests[0]
-    monkeypatch.setattr(boosting, "growth", lambda trees, patience: [trees])
-    whole = fit_boosted(train, "target", "day", ["id"], settings).forests[0]
-    assert blocks.toDebugString.split("\n", 1)[1] == whole.toDebugString.split("\n", 1)[1]
-
-
-def test_growth_reaches_the_budget():
-    sizes = boosting.growth(1200, 10)
-    assert sizes[0] > 10 and sizes[-1] == 1200 and sizes == sorted(set(sizes)) and boosting.growth(5, 10) == [5]
-
-
 @pytest.mark.parametrize(
     "query",
     [catalog.q_boosted_binary, catalog.q_importance, catalog.q_boosted_classes, catalog.q_boosted_customer_classes],

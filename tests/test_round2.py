@@ -6,8 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from orderpath.modeling.boosting import rounds_to_keep
-from orderpath.modeling.features import FeatureEncoder
+from orderpath.modeling.boosting import BoostSettings, fit_boosted, rounds_to_keep
 from orderpath.modeling.scorecard import WoeEncoder
 from orderpath.operators.association import pearson_matrix, variance_inflation
 from orderpath.sources.tables import customer_attributes, order_history
@@ -52,10 +51,17 @@ def test_rounds_to_keep():
     assert rounds_to_keep([5, 6, 6, 1], 10) == 4
 
 
-@pytest.mark.parametrize("levels", [255, 256, 257])
+@pytest.mark.parametrize("levels", [63, 64, 65])
 def test_the_number_of_levels_changes_nothing(spark, levels):
-    df = spark.range(levels).select(F.col("id").cast("string").alias("c"), F.col("id").cast("double").alias("x"))
-    assert FeatureEncoder.fit(df, ["c"], ["x"]).nominal == ["c"]
+    """A category is split by sets of levels whether it shares the arrays of the numbers or not."""
+    rows = spark.range(levels * 20).select(
+        "id", (F.col("id") % levels).cast("string").alias("c"), (F.col("id") % levels % 2).cast("int").alias("target"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") / levels).cast("int")).alias("day"),
+    )
+    settings = BoostSettings(trees=1, depth=1, min_rows=5, row_share=1.1, l1=0.0)
+    model = fit_boosted(rows, "target", "day", ["id"], settings)
+    assert model.features.categories == ["c_code"] and model.features.narrow == (levels < settings.bins)
+    assert model.transform(rows).where("prediction != target").isEmpty()
 
 
 def test_no_variable_in_range_is_an_error():
