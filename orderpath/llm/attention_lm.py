@@ -13,8 +13,10 @@ the training documents:
 
 The network predicts a class of ids: frequent ids have a class each, the others share
 classes by their first character, and an id inside its class has its share of the counts.
-The shares of all ids of all classes sum to 1. The probability of a word is WORD_SHARE
-times its share of all training words plus the rest times what the network gives its ids.
+The shares of all ids of all classes sum to 1. The network's probability of a word is that of its
+ids, given that a word or the end begins there, times that of another beginning (an id with a
+space, or the end) behind them: over all words and the end these sum to 1 at most. The probability
+of a word is WORD_SHARE times its share of all training words plus the rest times the network's.
 
 Scoring cuts the ids of a document into overlapping windows. A window attends to itself under a
 causal mask and scores only the tokens that no window before has scored, so every token is
@@ -39,14 +41,17 @@ from orderpath.llm.vocab import END_ID, JSON_FILE, RANK_FILE, Vocabulary, load
 SIZE, CLASSES, OWN_CLASSES, INPUTS = 16, 128, 96, 1024
 WINDOW, CONTEXT = 24, 8
 START_ID = 0xFFFF
-ROUNDS, WORKERS, BATCH, RATE = 2, 12, 32, 0.01
+ROUNDS, WORKERS, BATCH, RATE = 4, 12, 32, 0.01
+# A worker's rate falls with the root of its own steps; its windows are bounded, workers grow with the text.
+SLOW_STEPS, WORKER_WINDOWS = 200, 1 << 16
+# Largest norm of a gradient, of a row of weights.
+CLIP, NORM = 1.0, 8.0
 PSEUDO, WORD_SHARE = 5.0, 0.6
 HEAVY_WORDS, HEAVY_CHARS = 100_000, 64
 LONG_WORD, END_MARK = 1000, "<|endoftext|>"
 MEMO_WORDS = 200_000
 WINDOWS_AT_ONCE = 256
 WORDS_AT_ONCE = 1 << 16
-LIMIT = 80.0
 LOG10 = np.log(10.0)
 
 
@@ -249,18 +254,23 @@ def text_parts(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
 
 @dataclass
 class AttentionModel:
-    """Weights, and the tables that place an id: input row, output class, log share in its class."""
+    """Weights, and the tables that place an id: input row, output class, log share in its class.
+
+    ``begins`` is the share of a class that begins a word or ends the text.
+    """
 
     weights: dict[str, np.ndarray]
     input_of: np.ndarray
     class_of: np.ndarray
     log_share: np.ndarray
+    begins: np.ndarray
 
     def __post_init__(self):
         self.tables = tables(self.weights)
 
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of every id of every array, one after the other; each is scored once.
+    def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of every id of every array, one after the other, and of a beginning
+        at its place; each is scored once.
 
         Before its first id a text has CONTEXT start symbols, so each window scores its last
         WINDOW - CONTEXT places and attends to all places before them in the window.
@@ -282,7 +292,7 @@ class AttentionModel:
         goals[places] = self.class_of[flat]
         number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = np.repeat(offsets[:-1], counts) + number * step
-        scored = np.zeros(offsets[-1], dtype=np.float64)
+        scored, begun = np.zeros(offsets[-1], dtype=np.float64), np.zeros(offsets[-1], dtype=np.float64)
         for i in range(0, len(starts), WINDOWS_AT_ONCE):
             window = starts[i : i + WINDOWS_AT_ONCE, None] + np.arange(WINDOW)
             last = window[:, CONTEXT:]
@@ -290,8 +300,8 @@ class AttentionModel:
             attended = attend(self.tables, inputs, CONTEXT)[0]
             logits = attended.reshape(-1, SIZE) @ self.weights["mixed"]
             logits += gather(self.tables["direct"], inputs[:, CONTEXT:].ravel())
-            scored[last.ravel()] = picked(logits, goals[last.ravel()])
-        return scored[places] + self.log_share[flat]
+            scored[last.ravel()], begun[last.ravel()] = picked(logits, goals[last.ravel()], self.begins)
+        return scored[places] + self.log_share[flat], begun[places]
 
 
 def tables(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -303,11 +313,6 @@ def tables(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "direct": w["direct"] + w["bias"],
         "distance": w["distance"],
     }
-    longest = lambda a, axis: float(np.sqrt((a.astype(np.float64) ** 2).sum(axis=axis)).max())
-    scores = longest(out["query"], 1) * longest(out["key"], 1) + float(np.abs(out["distance"]).max())
-    logits = longest(out["value"], 1) * longest(w["mixed"], 0) + float(np.abs(out["direct"]).max())
-    if max(scores, logits) > LIMIT:
-        raise ValueError("training diverged: exponents could overflow")
     return out
 
 
@@ -315,10 +320,12 @@ def gather(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return table.take(rows, axis=0, mode="clip")
 
 
-def picked(logits: np.ndarray, goals: np.ndarray) -> np.ndarray:
-    """Log softmax of each row at its goal; overwrites ``logits``, which LIMIT keeps from overflow."""
+def picked(logits: np.ndarray, goals: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log softmax of each row at its goal, and the log of the mass that begins; overwrites ``logits``."""
+    logits -= logits.max(axis=-1, keepdims=True)
     chosen = logits[np.arange(len(goals)), goals]
-    return chosen - np.log(np.exp(logits, out=logits).sum(axis=-1))
+    total = np.exp(logits, out=logits).sum(axis=-1)
+    return chosen - np.log(total), np.log(np.maximum(logits @ begins.astype(logits.dtype), 1e-30) / total)
 
 
 def attend(t: dict[str, np.ndarray], rows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,6 +335,7 @@ def attend(t: dict[str, np.ndarray], rows: np.ndarray, first: int) -> tuple[np.n
     offset = np.where(distance >= 0, t["distance"][np.clip(distance, 0, WINDOW)], np.float32(-1e9))
     scores = gather(t["query"], rows[:, first:]) @ gather(t["key"], rows).transpose(0, 2, 1)
     scores += offset
+    scores -= scores.max(axis=-1, keepdims=True)
     np.exp(scores, out=scores)
     total = scores.sum(axis=-1, keepdims=True)
     return scores @ gather(t["value"], rows) / total, scores, total
@@ -384,15 +392,35 @@ def gradients(w: dict[str, np.ndarray], rows: np.ndarray, goals: np.ndarray, rea
     return grads
 
 
-def train_worker(w: dict[str, np.ndarray], rows: np.ndarray, goals: np.ndarray, real: np.ndarray, rate: float) -> dict[str, np.ndarray]:
-    """One pass of Adam over a worker's windows, in a fixed order."""
+def bounded(w: dict[str, np.ndarray]) -> None:
+    """Shorten rows of weights to NORM, so that no product of them leaves the range of a float."""
+    for k in ("embed", "query", "key", "value", "mixed"):
+        length = np.sqrt((w[k] * w[k]).sum(axis=1, keepdims=True))
+        if length.max() > NORM:
+            w[k] *= np.minimum(1, NORM / np.maximum(length, 1e-6))
+    for k in ("direct", "bias", "distance"):
+        np.clip(w[k], -4 * NORM, 4 * NORM, out=w[k])
+
+
+def train_worker(w: dict[str, np.ndarray], rows: np.ndarray, goals: np.ndarray, real: np.ndarray, rate: float, before: int = 0) -> dict[str, np.ndarray]:
+    """One pass of Adam over a worker's windows, in a fixed order.
+
+    Gradients are clipped and weights bounded after each step; the rate falls with the steps
+    that the worker has made, ``before`` of them earlier.
+    """
     w = {k: v.copy() for k, v in w.items()}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     for t, i in enumerate(range(0, len(rows), BATCH), 1):
-        for k, g in gradients(w, rows[i : i + BATCH], goals[i : i + BATCH], real[i : i + BATCH]).items():
+        now = np.float32(rate / np.sqrt(1 + (before + t) / SLOW_STEPS))
+        grads = gradients(w, rows[i : i + BATCH], goals[i : i + BATCH], real[i : i + BATCH])
+        length = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
+        shorter = np.float32(min(1.0, CLIP / max(length, 1e-12)))
+        for k, g in grads.items():
+            g *= shorter
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.01 * (g * g - v[k])
-            w[k] -= np.float32(rate) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            w[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+        bounded(w)
     return w
 
 
@@ -416,6 +444,13 @@ def place_ids(counts: np.ndarray, token_bytes: list[bytes]) -> tuple[np.ndarray,
     return input_of, class_of, log_share, np.log((in_class + 0.5) / (in_class + 0.5).sum())
 
 
+def beginnings(log_share: np.ndarray, class_of: np.ndarray, token_bytes: list[bytes]) -> np.ndarray:
+    """Share of each class in ids that begin a word (with a space) or end the text."""
+    begins = np.array([token[:1] == b" " for token in token_bytes])
+    begins[END_ID] = True
+    return np.bincount(class_of, weights=np.exp(log_share) * begins, minlength=CLASSES)
+
+
 def of_round(docs: DataFrame, i: int) -> DataFrame:
     """The documents of round ``i``; every row is in one round."""
     return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == i)
@@ -475,7 +510,8 @@ def average_round(
         for batch in batches:
             if batch.num_rows:
                 ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(-1, WINDOW + 1)
-                state, seen = train_worker(state, *placed(ids, input_of, class_of), rate), seen + batch.num_rows
+                state = train_worker(state, *placed(ids, input_of, class_of), rate, seen // BATCH)
+                seen += batch.num_rows
         if seen:
             blob = np.concatenate([state[k].ravel() for k in names]).astype("<f4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([blob], pa.binary())], ["seen", "blob"])
@@ -520,11 +556,13 @@ def learn(train: DataFrame, json_file: str = JSON_FILE, rank_file: str = RANK_FI
     input_of, class_of, log_share, class_share = place_ids(counts, load(json_file, rank_file).token_bytes)
     follows = count_transitions(words, input_of, class_of, json_file, rank_file)
     weights = start_weights(starting_table(follows, class_share, ends, int(class_of[END_ID])))
+    begins = beginnings(log_share, class_of, load(json_file, rank_file).token_bytes)
+    workers = max(WORKERS, int(-(-counts.sum() // (ROUNDS * WINDOW * WORKER_WINDOWS))))
     for i in range(ROUNDS):
         windows = draw_windows(of_round(train, i), json_file, rank_file)
-        dealt = windows.repartition(WORKERS, "at").sortWithinPartitions("at")
+        dealt = windows.repartition(workers, "at").sortWithinPartitions("at")
         weights = average_round(dealt, weights, RATE * (1 - i / ROUNDS), input_of, class_of)
-    return Learned(AttentionModel(weights, input_of, class_of, log_share), words, (total.n or 0) + ends, total.v + (ends > 0))
+    return Learned(AttentionModel(weights, input_of, class_of, log_share, begins), words, (total.n or 0) + ends, total.v + (ends > 0))
 
 
 # ---------------------------------------------------------------- scoring
@@ -589,7 +627,8 @@ def score_part(model: AttentionModel, table: WordTable, texts: list[list[bytes]]
     spelled = spell(table, texts)
     numbers, last = spelled.numbers, spelled.last
     firsts = np.cumsum(spelled.sizes) - spelled.sizes
-    by_word = np.add.reduceat(model.score(np.split(spelled.ids, np.cumsum(spelled.text_sizes)[:-1])), firsts) / LOG10
+    by_id, begun = model.score(np.split(spelled.ids, np.cumsum(spelled.text_sizes)[:-1]))
+    by_word = word_logs(by_id, begun, firsts, last) / LOG10
     logs = table.logs[numbers]
     logs[last] = end_logs
     rare = np.isnan(logs[:, 0])
@@ -610,6 +649,12 @@ def score_part(model: AttentionModel, table: WordTable, texts: list[list[bytes]]
     ]
 
 
+def word_logs(by_id: np.ndarray, begun: np.ndarray, firsts: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Log probability of each word and end: its ids, given a beginning, and a beginning behind a word."""
+    behind = np.append(begun[firsts[1:]], 0.0)
+    return np.add.reduceat(by_id, firsts) - begun[firsts] + np.where(last, 0.0, behind)
+
+
 def learned_ends(learned: Learned) -> int:
     """Ends in training: all tokens but the words."""
     return learned.train_tokens - (learned.words.agg(F.sum("c").alias("n")).first().n or 0)

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from orderpath.llm import attention_lm, bpe_tree, byte_cnn, feistel, heavy_dedup, id_files, lexicon, setsketch, token_spans, winnowing
 from orderpath.llm.common import BATCH_ROWS, TEXT_ROWS, small_batches
-from orderpath.llm.vocab import END_TOKEN, JSON_FILE, Vocabulary, load
+from orderpath.llm.vocab import END_ID, END_TOKEN, JSON_FILE, Vocabulary, load
 
 LIBRARY = Tokenizer.from_file(JSON_FILE)
 rng = random.Random(11)
@@ -406,16 +406,45 @@ def test_attention_probabilities_sum_to_one_and_do_not_depend_on_the_batch():
     counts[: 3000] = np.arange(3000)[::-1]
     input_of, class_of, log_share, class_share = attention_lm.place_ids(counts, load().token_bytes)
     direct = np.tile(class_share.astype(np.float32), (attention_lm.INPUTS, 1))
-    model = attention_lm.AttentionModel(attention_lm.start_weights(direct), input_of, class_of, log_share)
+    begins = attention_lm.beginnings(log_share, class_of, load().token_bytes)
+    model = attention_lm.AttentionModel(attention_lm.start_weights(direct), input_of, class_of, log_share, begins)
     prefix = np.arange(5, 50)
-    total = np.exp(model.score([np.append(prefix, k) for k in range(50257)]).reshape(50257, -1)[:, -1]).sum()
-    assert total == pytest.approx(1, abs=1e-3)
+    logs, begun = (x.reshape(50257, -1)[:, -1] for x in model.score([np.append(prefix, k) for k in range(50257)]))
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-3)
+    # What begins a word or ends the text: given that, words and end are a distribution.
+    first = np.array([token[:1] == b" " for token in load().token_bytes])
+    first[END_ID] = True
+    assert np.exp(logs[first]).sum() == pytest.approx(np.exp(begun[0]), rel=1e-4)
     texts = [np.arange(k) % 999 for k in (1, 4, 16, 17, 200)]
-    together = model.score(texts)
-    assert np.allclose(together, np.concatenate([model.score([t]) for t in texts]))
-    changed = [t.copy() for t in texts]
-    changed[4][150] = 2000
-    assert np.allclose(model.score(changed)[: -50], together[: -50])
+    for which in (0, 1):
+        together = model.score(texts)[which]
+        assert np.allclose(together, np.concatenate([model.score([t])[which] for t in texts]))
+        changed = [t.copy() for t in texts]
+        changed[4][150] = 2000
+        assert np.allclose(model.score(changed)[which][: -50], together[: -50])
+
+
+def test_word_probability_of_ids_and_beginnings():
+    by_id, begun = np.log([0.5, 0.25, 0.125, 0.9]), np.log([0.8, 0.1, 0.4, 0.95])
+    firsts, last = np.array([0, 2, 3]), np.array([False, False, True])
+    assert np.exp(attention_lm.word_logs(by_id, begun, firsts, last)) == pytest.approx([0.5 * 0.25 / 0.8 * 0.4, 0.125 / 0.4 * 0.95, 0.9 / 0.95])
+
+
+@pytest.mark.parametrize("rate", [0.01, 5.0])
+def test_training_stays_in_range_over_many_steps(rate):
+    """No rate and no number of steps lets weights leave the range of floats."""
+    r = np.random.default_rng(1)
+    w = attention_lm.start_weights(np.zeros((attention_lm.INPUTS, attention_lm.CLASSES), np.float32))
+    rows = r.integers(0, 40, (32 * 120, attention_lm.WINDOW)).astype(np.int32)
+    goals = (rows * 7 + 3) % attention_lm.CLASSES
+    real = np.ones(rows.shape, np.float32)
+    for turn in range(4):
+        w = attention_lm.train_worker(w, rows, goals, real, rate, 120 * turn)
+    assert all(np.isfinite(x).all() for x in w.values())
+    t = attention_lm.tables(w)
+    logits = (t["direct"][rows[:64]] + attention_lm.attend(t, rows[:64], 0)[0] @ w["mixed"]).reshape(-1, attention_lm.CLASSES)
+    logs = attention_lm.picked(logits.copy(), goals[:64].ravel(), np.ones(attention_lm.CLASSES))[0]
+    assert np.isfinite(logs).all() and (rate > 1 or logs.mean() > -0.5)
 
 
 def test_training_windows_cover_the_text(docs, empty):
@@ -451,7 +480,7 @@ def test_attention_gradients():
     def loss(weights):
         t = attention_lm.tables(weights)
         logits = (t["direct"][rows] + attention_lm.attend(t, rows, 0)[0] @ weights["mixed"]).astype(np.float64)
-        return -attention_lm.picked(logits.reshape(-1, attention_lm.CLASSES), goals.ravel()).mean()
+        return -attention_lm.picked(logits.reshape(-1, attention_lm.CLASSES), goals.ravel(), np.ones(attention_lm.CLASSES))[0].mean()
 
     grads = attention_lm.gradients(w, rows, goals, real)
     for name, g in grads.items():
