@@ -373,6 +373,48 @@ bins AS (
   SELECT variable, COALESCE(value, 'MISSING'), NULL, SUM(target), SUM(1 - target) FROM cats GROUP BY 1, 2),{IV_TERMS}"""
 
 
+def _cut_paths(bins: int) -> str:
+    """All ways to cut the fine bins into at most ``bins`` segments of rising or falling event rates."""
+    parts = []
+    for k in range(1, bins + 1):
+        tables = ["seg s1", *[f"JOIN seg s{i} ON s{i}.variable = s{i - 1}.variable AND s{i}.i = s{i - 1}.j" for i in range(2, k + 1)]]
+        rise = " AND ".join(f"s{i}.rate <= s{i + 1}.rate" for i in range(1, k)) or "TRUE"
+        fall = " AND ".join(f"s{i}.rate >= s{i + 1}.rate" for i in range(1, k)) or "TRUE"
+        cuts = ", ".join(f"s{i}.j AS c{i}" if i < k else f"CAST(NULL AS BIGINT) AS c{i}" for i in range(1, bins))
+        parts.append(
+            f"SELECT s1.variable, {k} AS k, {' + '.join(f's{i}.value' for i in range(1, k + 1))} AS total, {cuts} FROM {' '.join(tables)}"
+            f" JOIN ends ON ends.variable = s1.variable WHERE s1.i = 0 AND s{k}.j = ends.m AND (({rise}) OR ({fall}))"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def optimal_bins_cte(numeric: list[str], categorical: list[str], source: str, fine: int, bins: int) -> str:
+    """As ``bins_cte`` with the cuts of the best information value among all of them."""
+    before = bins_cte(numeric, categorical, source, fine).split("bins AS (")[0]
+    cuts = ", ".join(f"c{i}" for i in range(1, bins))
+    place = " + ".join(f"COALESCE(CAST(p.pos > c{i} AS INT), 0)" for i in range(1, bins))
+    return f"""{before}
+fine AS (SELECT variable, bin, MIN(value) AS lower, SUM(target) AS n_event, SUM(1 - target) AS n_other FROM slot GROUP BY 1, 2),
+sums AS (SELECT variable, SUM(n_event) AS events, SUM(n_other) AS others FROM fine GROUP BY 1),
+pre AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY CAST(bin AS INT)) AS pos FROM fine WHERE bin <> 'MISSING'),
+ends AS (SELECT variable, MAX(pos) AS m FROM pre GROUP BY 1),
+runs AS (SELECT a.variable, a.pos - 1 AS i, b.pos AS j, SUM(c.n_event) AS e, SUM(c.n_other) AS o
+  FROM pre a JOIN pre b ON b.variable = a.variable AND b.pos >= a.pos JOIN pre c ON c.variable = a.variable AND c.pos BETWEEN a.pos AND b.pos
+  GROUP BY 1, 2, 3),
+seg AS (SELECT runs.variable, i, j, e / (e + o) AS rate,
+    CASE WHEN e > 0 AND o > 0 THEN (o / others - e / events) * ln((o / others) / (e / events)) ELSE 0.0 END AS value
+  FROM runs JOIN sums ON sums.variable = runs.variable),
+paths AS ({_cut_paths(bins)}),
+best AS (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY variable ORDER BY round(total, 10) DESC, k, {cuts}) = 1),
+bins AS (
+  SELECT p.variable, CAST({place} AS VARCHAR) AS bin, MIN(p.lower) AS lower, SUM(p.n_event) AS n_event, SUM(p.n_other) AS n_other
+  FROM pre p JOIN best ON best.variable = p.variable GROUP BY 1, 2
+  UNION ALL
+  SELECT variable, bin, NULL, n_event, n_other FROM fine WHERE bin = 'MISSING'
+  UNION ALL
+  SELECT variable, COALESCE(value, 'MISSING'), NULL, SUM(target), SUM(1 - target) FROM cats GROUP BY 1, 2),{IV_TERMS}"""
+
+
 TRAIN_CUSTOMERS = (
     CUSTOMER2
     + f""",
@@ -658,7 +700,7 @@ ORACLES: dict[str, str] = {
     "segment_eval_ovr": f"""WITH {SCORED}, known AS (SELECT * FROM long WHERE period = 'TEST' AND segment IS NOT NULL),
       {auc_cte('segment, class', 'hit', 'score', 'known')}
       SELECT segment, class, positives, negatives, ROUND(auc, 6) AS auc, ROUND(2 * auc - 1, 6) AS gini FROM areas""",
-    "woe_transform": f"""WITH {TRAIN_CUSTOMERS}, {bins_cte(WOE_NUMERIC, ['maturity'], 'tr', 5)}
+    "woe_transform": f"""WITH {TRAIN_CUSTOMERS}, {optimal_bins_cte(WOE_NUMERIC, ['maturity'], 'tr', 20, 5)}
       SELECT mx.customer_id, ROUND(COALESCE(c.woe, 0.0), 6) AS maturity_woe, {', '.join(_woe_column(v) for v in WOE_NUMERIC)}
       FROM mx LEFT JOIN weighed c ON c.variable = 'maturity' AND c.bin = COALESCE(mx.maturity, 'MISSING')""",
     "event_transition_matrix": f"WITH {EVENT_SEQ} " + share_of("event_type, next_state", "PARTITION BY event_type", "placed"),
