@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orderpath.session import stage_table
 
-__all__ = ["document_columns", "fold", "labelled_sample", "map_batches", "read_table", "small_batches", "stage_table", "texts_of"]
+__all__ = ["document_columns", "fold", "keep_by", "labelled_sample", "map_batches", "read_table", "small_batches", "stage_table", "texts_of"]
 
 ID, TEXT = "doc_id", "text"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -26,6 +27,18 @@ def document_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col(ID).cast("long").alias(ID), F.coalesce(F.col(TEXT), F.lit("")).alias(TEXT))
 
 
+def keep_by(docs: DataFrame, chosen: DataFrame, how: str, **keys: Column) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` are (``left_semi``) or are not (``left_anti``) among the rows of ``chosen``.
+
+    Rows travel as one struct beside the keys, so no column of theirs can clash with a key; nulls
+    match each other.
+    """
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("document"), *[key.alias(name) for name, key in keys.items()])
+    there = chosen.select(*[F.col(name).alias(f"{name}_there") for name in keys])
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"{name}_there")) for name in keys])
+    return rows.join(there, same, how).select("document.*")
+
+
 def small_batches(docs: DataFrame) -> DataFrame:
     """``docs``; the session hands whole texts to Python at most TEXT_ROWS at a time, not the usual 10,000."""
     conf = docs.sparkSession.conf

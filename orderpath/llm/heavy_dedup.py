@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderpath.llm.common import document_columns, stage_table
+from orderpath.llm.common import document_columns, keep_by, stage_table
 
 SPACES = " \t\n\v\f\r"
 HEAVY_SHARE = 1 / 2000
@@ -68,14 +68,16 @@ def group_copies(docs: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame
 
 
 def drop_copies(docs: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept.
+    """``docs`` with one row of each group of equal texts, all columns kept, whatever their names.
 
-    Rows are matched by (doc_id, digest). Where one kept row was repeated under the same id,
-    the extra repeats go too.
+    Rows are matched by (doc_id, digest), in one shuffle of the texts. Where one kept row was
+    repeated under the same id, the extra repeats go too; only such tables are ordered once more.
     """
-    kept = group_copies(docs, heavy_share).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_digest_here", digest(F.col("text")))
-    match = F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_digest") == F.col("_digest_here"))
-    chosen = marked.join(kept, match, "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id", "_digest_here").orderBy("_digest_here"))
-    return chosen.withColumn("_n", one).where("_n = 1").drop("_n", "_digest_here")
+    groups = stage_table(group_copies(docs, heavy_share), "copies")
+    kept = groups.where("kept").select("doc_id", "digest")
+    left = keep_by(docs, kept, "left_semi", doc_id=F.col("doc_id").cast("long"), digest=digest(F.col("text")))
+    if groups.where("doc_id <=> keep_id and not kept").isEmpty():
+        return left
+    rows = left.select(F.struct(*[left[f"`{c}`"] for c in left.columns]).alias("document"), F.col("doc_id"), digest(F.col("text")).alias("digest"))
+    one = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("digest"))
+    return rows.withColumn("number", one).where("number = 1").select("document.*")

@@ -289,14 +289,17 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that reach the threshold; all columns as they are.
 
-    Each row is judged in place, so nothing is shuffled and repeated ids do no harm.
+    Each row is judged in place, so nothing is shuffled and repeated ids do no harm. A null
+    text counts as empty, as in :func:`score_documents`.
     """
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            keep = [text is None or lexicon.score(text) < threshold for text in texts_of(batch.column(at))]
+            keep = [lexicon.score(text or "") < threshold for text in texts_of(batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(work, docs.schema)
+    # Numbered names: Python functions over rows read a dot in a name as a path.
+    plain = small_batches(docs).toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(work, plain.schema).toDF(*names)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderpath.llm.common import document_columns, small_batches, stage_table, texts_of
+from orderpath.llm.common import document_columns, keep_by, small_batches, stage_table, texts_of
 
 REGISTERS, ROWS = 252, 6
 BANDS = REGISTERS // ROWS
@@ -409,12 +409,11 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; all columns as they are.
+    """``docs`` with one document of each group; all columns as they are, whatever their names.
 
     Rows that repeat a kept id and text stay with it.
     """
-    gone = group_near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    gone = group_near_duplicates(docs).where("not kept").select("doc_id", "text_hash")
     gone = stage_table(gone.distinct(), "near-copies")
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    same = F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_hash") == text_hash)
-    return docs.join(near_side(gone), same, "left_anti")
+    return keep_by(docs, near_side(gone), "left_anti", doc_id=F.col("doc_id").cast("long"), text_hash=text_hash)

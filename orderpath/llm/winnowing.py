@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderpath.llm.common import document_columns, stage_table
+from orderpath.llm.common import document_columns, keep_by, stage_table
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
@@ -171,9 +171,9 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated rows; all columns as they are."""
+    """``docs`` without the contaminated rows; all columns as they are, whatever their names."""
     found = find_contamination(docs, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words")))
-    bad = stage_table(found.select(F.col("row").alias("_row")).distinct(), "contaminated")
+    bad = stage_table(found.select(F.col("row.id").alias("id"), F.col("row.hash").alias("hash")).distinct(), "contaminated")
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("hash"))
-    return docs.join(near_side(bad, bad.count()), F.col("_row") == key, "left_anti")
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return keep_by(docs, near_side(bad, bad.count()), "left_anti", id=doc_id, hash=F.xxhash64(text))
