@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
@@ -19,7 +20,7 @@ from orderpath.operators import profile as P
 from orderpath.operators.history import History
 from orderpath.operators.joins import heavy_keys
 from orderpath.plans import matrices as X
-from orderpath.session import stage_table
+from orderpath.session import shared_dir, stage_table
 from orderpath.sources import tables as S
 from orderpath.spec import EVENTS, ORDERS
 
@@ -186,6 +187,14 @@ def q_scan(t: Tables) -> DataFrame:
     return tidy(t.full)
 
 
+def q_read_orders(t: Tables) -> DataFrame:
+    """The orders as a user's own flat table has them: other names, times instead of dates."""
+    path = f"{shared_dir(t.spark)}/orderpath/flat-orders-{uuid.uuid4().hex}"
+    flat = t.full.withColumn("order_date", F.col("order_date").cast("timestamp"))
+    flat.withColumnsRenamed({"customer_id": "client", "order_date": "ordered_at"}).write.parquet(path)
+    return S.read_orders(t.spark, path, {"customer_id": "client", "order_date": "ordered_at"})
+
+
 def q_preview(t: Tables) -> DataFrame:
     return tidy(S.preview(t.full, "order_id", 5))
 
@@ -660,6 +669,7 @@ def q_event_entities(t: Tables) -> DataFrame:
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_order_history": q_scan,
+    "read_orders": q_read_orders,
     "preview_orders": q_preview,
     "columns_by_kind": q_columns,
     "encode_attributes": q_encode,

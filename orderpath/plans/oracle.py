@@ -723,3 +723,5 @@ ORACLES: dict[str, str] = {
         COUNT(*) FILTER (days <= 30) AS n_30d, last(s2 ORDER BY ts, event_id) AS latest_channel
       FROM h GROUP BY 1""",
 }
+
+ORACLES["read_orders"] = ORACLES["scan_order_history"]
