@@ -4,51 +4,113 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderpath.operators import comoments
 from orderpath.operators.joins import lookup_join
 from orderpath.operators.scan import rank_bin, running_totals
 from orderpath.session import stage_table
 
 MISSING = "MISSING"
 
-PAIRS_AT_ONCE = 60
+# Relative rank error of the sketches that bracket bin edges, as 1 / ACCURACY.
+ACCURACY = 1_000
 
 
-def numeric_bins(df: DataFrame, columns: Sequence[str], target: str, bins: int) -> DataFrame:
-    """(variable, bin, lower, n_event, n_other) of equal-frequency bins.
+def _entries(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """(_event, _v, value) with one row per column of every row.
 
-    Rows are first combined into distinct values with event counts, and the total sort
-    runs on those. ``lower`` is the smallest value of a bin; NULL has its own bin.
+    A small number stands for the variable until the rows are few: names would make up
+    most of what is shuffled and compared.
     """
-    # A small number stands for the variable until the rows are few: names would make up
-    # most of what is shuffled and compared.
     entries = [
-        F.struct(F.lit(i).alias("_v"), F.col(c).cast("double").alias("value"))
-        for i, c in enumerate(columns, 1)
+        F.struct(F.lit(i).alias("_v"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns, 1)
     ]
-    values = (
-        df.select(F.col(target).alias("_event"), F.inline(F.array(*entries)))
-        .groupBy("_v", "value")
-        .agg(
-            F.sum("_event").cast("bigint").alias("n_event"),
-            (F.count(F.lit(1)) - F.sum("_event")).cast("bigint").alias("n_other"),
-        )
-        .withColumn("n", F.col("n_event") + F.col("n_other"))
+    return df.select(F.col(target).alias("_event"), F.inline(F.array(*entries)))
+
+
+def _brackets(values: DataFrame, k: int, bins: int, accuracy: int) -> tuple[Column, Column]:
+    """Arrays of the lower and upper bounds around the bin edges of the row's variable.
+
+    Sketches are combined per variable; the driver gets two numbers per edge.
+    """
+    edges = [i / bins for i in range(1, bins)]
+    reach = 2.0 / accuracy
+    points = [max(0.0, e - reach) for e in edges] + [min(1.0, e + reach) for e in edges]
+    sketched = (
+        values.groupBy("_v")
+        .agg(F.percentile_approx(F.nullif("value", F.lit(float("nan"))), points, accuracy).alias("bounds"))
+        .collect()
+    )
+    found = {row["_v"]: row["bounds"] for row in sketched}
+    bounds = [found.get(i) or [None] * len(points) for i in range(1, k + 1)]
+
+    def of_variable(part: slice) -> Column:
+        rows = [F.array(*[F.lit(b).cast("double") for b in row[part]]) for row in bounds]
+        return F.element_at(F.array(*rows), F.col("_v"))
+
+    return of_variable(slice(0, len(edges))), of_variable(slice(len(edges), None))
+
+
+def _counted(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return values.groupBy(*keys).agg(
+        F.min("value").alias("lower"),
+        F.max("value").alias("upper"),
+        F.sum("_event").cast("bigint").alias("n_event"),
+        (F.count(F.lit(1)) - F.sum("_event")).cast("bigint").alias("n_other"),
     )
+
+
+def _ranked(groups: DataFrame) -> DataFrame:
     # NULL keeps a piece of its own in the sort, so one pass serves known and unknown.
-    ranked = running_totals(
-        values.withColumn("_known", F.col("value").isNotNull()), ["_v", "_known"], ["value"], {"n": F.col("n")}
+    known = groups.withColumn("_known", F.col("lower").isNotNull()).withColumn("n", F.col("n_event") + F.col("n_other"))
+    return running_totals(known, ["_v", "_known"], ["lower"], {"n": F.col("n")})
+
+
+def numeric_bins(
+    df: DataFrame, columns: Sequence[str], target: str, bins: int, accuracy: int = ACCURACY
+) -> DataFrame:
+    """(variable, bin, lower, n_event, n_other) of equal-frequency bins.
+
+    A quantile sketch per variable brackets every bin edge. One counted pass keeps the
+    distinct values inside the brackets and one sum for each stretch between them, both
+    combined before the shuffle; ranks over those give the exact edges. Where a sketch
+    missed an edge, so that a stretch reaches over two bins, all distinct values of
+    that variable are ranked. ``lower`` is the smallest value of a bin; NULL has its
+    own bin, NaN counts as the largest value.
+    """
+    if not columns:
+        raise ValueError("no columns to bin")
+    values = _entries(df, columns, target)
+    low, high = _brackets(values, len(columns), bins, accuracy)
+    value, steps = F.col("value"), range(bins - 1)
+    reached = reduce(
+        Column.__add__, [F.when(value >= low[i], 1).otherwise(0) for i in steps], F.lit(0)
+    )
+    inside = reduce(
+        Column.__or__, [F.coalesce((value >= low[i]) & (value <= high[i]), F.lit(False)) for i in steps], F.lit(False)
     )
+    stretches = values.withColumns(
+        {"_slot": F.when(value.isNotNull(), reached), "_exact": F.when(inside, value)}
+    )
+    ranked = _ranked(_counted(stretches, ["_v", "_slot", "_exact"]))
+    end = F.expr(f"CAST(least((below_n + n - 1) * {bins} div total_n, {bins - 1}) AS INT)")
+    split = F.col("_known") & (F.col("lower") < F.col("upper")) & (end != rank_bin(bins))
+    missed = sorted(row["_v"] for row in ranked.where(split).select("_v").distinct().collect())
+    ranked = ranked.drop("_slot", "_exact")
+    if missed:
+        again = F.col("_v").isin(missed)
+        ranked = ranked.where(~again).unionByName(
+            _ranked(_counted(values.where(again).withColumn("_exact", value), ["_v", "_exact"])).drop("_exact")
+        )
     slot = F.when(F.col("_known"), rank_bin(bins).cast("string")).otherwise(F.lit(MISSING))
     binned = ranked.groupBy("_v", slot.alias("bin")).agg(
-        F.min("value").alias("lower"),
+        F.min("lower").alias("lower"),
         F.sum("n_event").alias("n_event"),
         F.sum("n_other").alias("n_other"),
     )
@@ -118,26 +180,10 @@ def information_value(
 def _correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """k x k Pearson matrix; each pair uses the rows where both values are known.
 
-    Columns without gaps share one k x k summary. Pairs with a column that has gaps are
-    aggregated pair by pair, PAIRS_AT_ONCE in one pass.
+    One read for all pairs, whatever columns have gaps. NaN where a side is constant.
     """
-    known = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns}
-    doubles = df.select(*[value.alias(c) for c, value in known.items()])
-    counts = doubles.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in columns]).first()
-    full = [c for c in columns if counts[c] == counts["_n"]]
-    matrix = np.full((len(columns), len(columns)), np.nan)
-    place = {c: i for i, c in enumerate(columns)}
-    if full and counts["_n"]:
-        vectors = VectorAssembler(inputCols=full, outputCol="_v").transform(doubles)
-        rows = [place[c] for c in full]
-        matrix[np.ix_(rows, rows)] = Correlation.corr(vectors, "_v", "pearson").first()[0].toArray()
-    gaps = [(a, b) for a, b in itertools.combinations_with_replacement(columns, 2) if a not in full or b not in full]
-    for i in range(0, len(gaps), PAIRS_AT_ONCE):
-        part = gaps[i : i + PAIRS_AT_ONCE]
-        values = doubles.agg(*[F.corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(part)]).first()
-        for (a, b), value in zip(part, values):
-            matrix[place[a], place[b]] = matrix[place[b], place[a]] = np.nan if value is None else value
-    return matrix
+    known = [F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]
+    return comoments.of(df.select(*known)).correlations()
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
