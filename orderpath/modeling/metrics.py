@@ -36,8 +36,12 @@ def confusion(
             for p in classes
         ]
     )
-    groups = counted.select(*by, F.inline(cells)).distinct()
-    return counted.unionByName(groups).groupBy(*by, "actual", "predicted").agg(F.sum("n").alias("n"))
+    own = F.array(F.struct("actual", "predicted", "n"))
+    return (
+        counted.select(*by, F.inline(F.concat(own, cells)))
+        .groupBy(*by, "actual", "predicted")
+        .agg(F.sum("n").alias("n"))
+    )
 
 
 def _ratio(numerator: Column, denominator: Column) -> Column:

@@ -199,6 +199,8 @@ def order_matrix(
     )
     if target == "binary":
         return matrix
+    # Read for the shares and again for the result: joins and windows run once.
+    matrix = stage_table(matrix, "matrix")
     shares = stage_table(
         group_means(
             matrix.where(F.col("period") == "TRAIN"),
