@@ -60,13 +60,18 @@ class History:
     @classmethod
     def of(
         cls,
-        rows: DataFrame,
+        rows: DataFrame | History,
         spec: HistorySpec,
         heavy: HeavyKeys | None | str = "find",
         heavy_rows: int = HEAVY_ROWS,
         block_rows: int = BLOCK_ROWS,
     ) -> History:
-        """Split the rows by route. ``heavy`` takes keys already known for the table."""
+        """Split the rows by route. ``heavy`` takes keys already known for the table.
+
+        A history, as read from a layout by entity, is already split and stays as it is.
+        """
+        if isinstance(rows, History):
+            return rows
         if heavy == "find":
             heavy = heavy_keys(rows, spec.entity, heavy_rows)
         if heavy is None:

@@ -22,6 +22,7 @@ from orderpath.operators.joins import heavy_keys
 from orderpath.plans import matrices as X
 from orderpath.session import shared_dir, stage_table
 from orderpath.sources import tables as S
+from orderpath.sources.layout import write_entity_layout
 from orderpath.spec import EVENTS, ORDERS
 
 ORDER_CUTOFF = "2000-01-01"
@@ -112,6 +113,12 @@ class Tables:
     def described(self) -> DataFrame:
         return S.order_history(self.spark, self.sf_dir, self.heavy, items=False)
 
+    @cached_property
+    def laid_out(self) -> History:
+        """The full order history, written by customer once."""
+        path = f"{shared_dir(self.spark)}/orderpath/layout-{uuid.uuid4().hex}"
+        return write_entity_layout(self.full, ORDERS, path, heavy=self.heavy)
+
     def history(self, rows: DataFrame) -> History:
         return History.of(rows, ORDERS, self.heavy)
 
@@ -630,6 +637,10 @@ def q_customer_classes(ties: str):
     return query
 
 
+def q_layout_customer_classes(t: Tables) -> DataFrame:
+    return tidy(X.customer_transition_matrix(t.laid_out, ties="fanout"), CUSTOMER_TYPES)
+
+
 def _events(t: Tables) -> History:
     rows = S.event_history(t.spark, t.sf_dir)
     return History.of(rows, EVENTS, heavy_keys(rows, EVENTS.entity))
@@ -721,6 +732,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "matrix_customer_binary": lambda t: tidy(t.customers, CUSTOMER_TYPES),
     "matrix_customer_multiclass": q_customer_classes("drop"),
     "matrix_customer_multiclass_fanout": q_customer_classes("fanout"),
+    "layout_order_binary": lambda t: tidy(X.order_matrix(t.laid_out, ORDER_CUTOFF, "binary")),
+    "layout_customer_binary": lambda t: tidy(X.customer_binary_matrix(t.laid_out), CUSTOMER_TYPES),
+    "layout_customer_multiclass": q_layout_customer_classes,
     "null_profile": q_null_profile,
     "numeric_profile": q_numeric_profile,
     "category_profile": q_category_profile,

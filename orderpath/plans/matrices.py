@@ -161,7 +161,7 @@ def encode_attributes(rows: DataFrame) -> DataFrame:
 
 
 def order_matrix(
-    orders: DataFrame,
+    orders: DataFrame | History,
     cutoff: str,
     target: str = "transition",
     spec: HistorySpec = ORDERS,
@@ -395,7 +395,7 @@ def _fixed(base: DataFrame, split_on: str) -> DataFrame:
 
 
 def customer_binary_matrix(
-    orders: DataFrame,
+    orders: DataFrame | History,
     spec: HistorySpec = ORDERS,
     split_on: str = "history_max",
     heavy: HeavyKeys | None | str = "find",
@@ -424,7 +424,7 @@ def customer_binary_matrix(
 
 
 def customer_transition_matrix(
-    orders: DataFrame,
+    orders: DataFrame | History,
     spec: HistorySpec = ORDERS,
     ties: str = "drop",
     split_on: str = "target",

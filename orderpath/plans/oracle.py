@@ -725,3 +725,6 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["read_orders"] = ORACLES["scan_order_history"]
+ORACLES["layout_order_binary"] = ORACLES["matrix_order_binary"]
+ORACLES["layout_customer_binary"] = ORACLES["matrix_customer_binary"]
+ORACLES["layout_customer_multiclass"] = ORACLES["matrix_customer_multiclass_fanout"]
