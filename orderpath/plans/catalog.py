@@ -327,9 +327,19 @@ def q_fanout_history(t: Tables) -> DataFrame:
     )
 
 
-def customer(*columns: str, types: Mapping[str, str] | None = None):
+def customer(*columns: str, types: Mapping[str, str] | None = None, source: str = "core"):
+    """Columns of the customer matrix, from the rows that hold what they need and no more."""
+
     def query(t: Tables) -> DataFrame:
-        return tidy(t.customers.select("customer_id", *columns), types)
+        rows = getattr(t, source)
+        padded = rows.select(
+            *[
+                F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                for f in S.ORDER_SCHEMA
+            ]
+        )
+        matrix = X.customer_binary_matrix(padded, ORDERS, heavy=t.heavy)
+        return tidy(matrix.select("customer_id", *columns), types)
 
     return query
 
@@ -714,14 +724,14 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "history_semi_join": q_semi_history,
     "history_fanout_join": q_fanout_history,
     "customer_counts": customer("n_prev", "n_channels", types=CUSTOMER_TYPES),
-    "customer_measures": customer(*X.COMMON_CUSTOMER_COLUMNS[6:15], types=CUSTOMER_TYPES),
+    "customer_measures": customer(*X.COMMON_CUSTOMER_COLUMNS[6:15], types=CUSTOMER_TYPES, source="measured"),
     "customer_gap_stats": customer("gap_mean", "gap_median", "gap_min", "gap_max"),
     "customer_state_pivot": customer("n_digital", "n_nondigital", "digital_share"),
     "customer_recency_windows": customer(*X.RECENCY_COLUMNS),
     "customer_change_stats": customer(*X.CHANGE_COLUMNS),
-    "customer_attributes": customer(*X.FIXED_COLUMNS),
+    "customer_attributes": customer(*X.FIXED_COLUMNS, source="described"),
     "latest_state": customer("latest_channel"),
-    "last3_trends": customer("trend_billed", "trend_items", "trend_boxes"),
+    "last3_trends": customer("trend_billed", "trend_items", "trend_boxes", source="measured"),
     "digital_trend_flag": customer("digital_last3", "digital_trend"),
     "group_mean_encoding": q_group_means,
     "group_encoding_join": q_encoding_join,

@@ -3,6 +3,7 @@
 import re
 
 from conftest import SMALL
+from orderpath.plans import catalog
 from orderpath.plans import matrices as X
 from orderpath.sources import tables as S
 
@@ -52,3 +53,13 @@ def test_group_shares_do_not_shuffle_the_matrix(spark, tmp_path):
 def test_line_totals_shuffle_once(spark):
     assert plan(S.line_totals(spark, SMALL)).count("Exchange") == 1
     assert plan(S.line_totals(spark, SMALL, heavy_rows=4)).count("Exchange") == 2
+
+
+def test_customer_queries_join_only_what_they_need(spark):
+    def joins(name):
+        return plan(catalog.QUERIES[name](catalog.Tables(spark, SMALL))).count("Join ")
+
+    for name in ("customer_counts", "customer_gap_stats", "customer_recency_windows", "latest_state"):
+        assert joins(name) == 0
+    assert joins("customer_measures") == joins("last3_trends") == 1
+    assert joins("customer_attributes") == 3
