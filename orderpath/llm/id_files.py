@@ -112,8 +112,11 @@ def write_ids(
 
     One range shuffle on doc_id orders the documents; a block closes once it holds
     ``block_ids`` ids. Null texts count as empty, null ids come first, repeated rows are
-    written each. An empty table writes an empty data set.
+    written each. An empty table writes an empty data set. An id that does not fit ``width``
+    bytes is an error.
     """
+    if end_id >> (8 * width):
+        raise ValueError(f"end_id {end_id} does not fit {width} bytes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(json_file, rank_file)
@@ -122,6 +125,8 @@ def write_ids(
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 piece = np.concatenate([vocabulary.encode(text), end])
+                if int(piece.max()) >> (8 * width):
+                    raise ValueError(f"id {piece.max()} does not fit {width} bytes")
                 doc_ids.append(doc_id)
                 pieces.append(piece.astype(f"<u{width}"))
                 held += len(piece)
@@ -169,3 +174,45 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(part_starts(blocks)), "part").select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids"
     )
+
+
+def read_some(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """As ``read_ids`` for the documents whose ``doc_id`` stands in ``wanted``.
+
+    Each document costs two selects on the index of its block; other ends are not
+    decoded, and blocks without a wanted document are not sent to Python. Repeated ids in
+    ``wanted`` count once, every written row of a wanted id is returned, NULL matches nothing.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], dtype=f"<u{row['width']}")
+                index = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
+                places = row["places"]
+                starts = [index.select(p - 1) if p else 0 for p in places]
+                ends = [index.select(p) for p in places]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["part"]] * len(places), pa.int32()),
+                        pa.array([row["doc_ids"][p] for p in places], pa.int64()),
+                        pa.array([row["before"] + a for a in starts], pa.int64()),
+                        pa.array([b - a for a, b in zip(starts, ends)], pa.int64()),
+                        pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    ],
+                    ["part", "doc_id", "at", "n_tokens", "ids"],
+                )
+
+    blocks = spark.read.schema(FILE_SCHEMA + ", part int").parquet(path)
+    places = blocks.select("part", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    hits = (
+        places.join(wanted.select("doc_id").distinct(), "doc_id")
+        .groupBy("part", "block")
+        .agg(F.sort_array(F.collect_list("place")).alias("places"))
+    )
+    rows = blocks.join(hits, ["part", "block"]).mapInArrow(
+        work, "part int, doc_id long, at long, n_tokens long, ids binary"
+    )
+    return rows.join(F.broadcast(part_starts(blocks)), "part").select(
+        "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids"
+    )

@@ -132,6 +132,23 @@ def test_id_files(spark, docs, tmp_path, block_ids):
         at += len(ids)
 
 
+@pytest.mark.parametrize("block_ids", [1, 50, 1 << 18])
+def test_id_files_of_some_documents(spark, docs, tmp_path, block_ids):
+    path = str(tmp_path / "ids")
+    id_files.write_ids(docs, path, block_ids=block_ids)
+    wanted = spark.createDataFrame([(0,), (8,), (8,), (3,), (10**9,), (None,)], "doc_id long")
+    every = sorted(tuple(r) for r in id_files.read_ids(spark, path).where("doc_id IN (0, 3, 8)").collect())
+    assert sorted(tuple(r) for r in id_files.read_some(spark, path, wanted).collect()) == every and len(every) == 4
+    assert id_files.read_some(spark, path, wanted.limit(0)).count() == 0
+
+
+def test_id_files_refuse_ids_that_do_not_fit(spark, docs, tmp_path):
+    with pytest.raises(ValueError):
+        id_files.write_ids(docs, str(tmp_path / "end"), end_id=300, width=1)
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        id_files.write_ids(docs, str(tmp_path / "ids"), width=1)
+
+
 def test_id_files_of_nothing(spark, empty, tmp_path):
     id_files.write_ids(empty, str(tmp_path / "ids"))
     assert id_files.read_ids(spark, str(tmp_path / "ids")).count() == 0
