@@ -87,15 +87,16 @@ def numeric_bins(
     if not columns:
         raise ValueError("no columns to bin")
     values = _entries(df, columns, target)
-    low, high = _brackets(values, len(columns), bins, accuracy)
-    value, steps = F.col("value"), range(bins - 1)
+    bounds = dict(zip(("_low", "_high"), _brackets(values, len(columns), bins, accuracy)))
+    # Named once: written out at every edge, the bounds of all variables would make a huge plan.
+    low, high, value, steps = F.col("_low"), F.col("_high"), F.col("value"), range(bins - 1)
     reached = reduce(
         Column.__add__, [F.when(value >= low[i], 1).otherwise(0) for i in steps], F.lit(0)
     )
     inside = reduce(
         Column.__or__, [F.coalesce((value >= low[i]) & (value <= high[i]), F.lit(False)) for i in steps], F.lit(False)
     )
-    stretches = values.withColumns(
+    stretches = values.withColumns(bounds).withColumns(
         {"_slot": F.when(value.isNotNull(), reached), "_exact": F.when(inside, value)}
     )
     ranked = _ranked(_counted(stretches, ["_v", "_slot", "_exact"]))
