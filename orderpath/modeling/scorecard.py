@@ -49,10 +49,14 @@ class WoeEncoder:
         quality = {v: quality_score([r["n_event"] for r in rows], [r["n_other"] for r in rows], iv.get(v, 0.0)) for v, rows in ordered.items()}
         return cls(numeric, categorical, table, iv, quality)
 
+    def useful(self, low: float = IV_RANGE[0], high: float = IV_RANGE[1]) -> list[str]:
+        """Variables inside the accepted range; there may be none."""
+        within = [v for v in [*self.numeric, *self.categorical] if low <= self.iv[v] <= high]
+        return [v for v in within if self.quality.get(v, 1.0) >= LEAST_QUALITY]
+
     def selected(self, low: float = IV_RANGE[0], high: float = IV_RANGE[1]) -> list[str]:
-        """Variables inside the accepted range; none at all is an error, not a reason to widen it."""
-        useful = [v for v in [*self.numeric, *self.categorical] if low <= self.iv[v] <= high]
-        kept = [v for v in useful if self.quality.get(v, 1.0) >= LEAST_QUALITY]
+        """As :meth:`useful`; none at all is an error, not a reason to widen the range."""
+        kept = self.useful(low, high)
         if not kept:
             raise ValueError(f"no variable has an information value in [{low}, {high}]: {self.iv}")
         return kept
@@ -154,13 +158,17 @@ def fit_woe_logistic(
 
     A few bins a variable leave few patterns: rows are combined to (pattern, class, weight) once,
     and Newton steps run on that table. ``written`` says that the training rows come from a table.
+    Where no variable tells the classes apart, the model has its intercept alone.
     """
     train = train.select(*variables, target, *spread)
     train = train if written else stage_table(train, "train")
     encoder = WoeEncoder.fit(train, variables, target)
-    kept = encoder.selected()
+    kept = encoder.useful()
     coded = encoder.transform(train, spread).select(*[f"{v}_woe" for v in kept], target)
     weighed = balanced(coded, target).withColumnRenamed(target, "label")
     cells = weighed.groupBy(*[f"{v}_woe" for v in kept], "label").agg(F.sum("weight").alias("weight"))
-    beta, gradient = newton_logistic(stage_table(cells, "cells"), kept, iterations)
+    cells = stage_table(cells, "cells")
+    if not kept and len(cells.where("label is not null").select("label").distinct().take(2)) < 2:
+        raise ValueError(f"training rows hold fewer than two classes of {target}")
+    beta, gradient = newton_logistic(cells, kept, iterations)
     return WoeLogistic(encoder, kept, beta, gradient)
