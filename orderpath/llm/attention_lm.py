@@ -29,6 +29,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,13 @@ START_ID = 0xFFFF
 ROUNDS, WORKERS, BATCH, RATE = 4, 12, 32, 0.01
 # A worker's rate falls with the root of its own steps; its windows are bounded, workers grow with the text.
 SLOW_STEPS, WORKER_WINDOWS = 200, 1 << 16
+# Weights that are moved at a time, steps between two scalings of the optimizer's means.
+PIECE, RESCALE = 1 << 16, 256
+# Exponents within this need no largest value taken off; rows of a group added up side by side.
+SAFE, LAYERS = 40.0, 8
+BY_ROW = ("embed", "direct")
+# Columns of queries, keys and values side by side.
+PARTS = [slice(i * SIZE, (i + 1) * SIZE) for i in range(3)]
 # Largest norm of a gradient, of a row of weights.
 CLIP, NORM = 1.0, 8.0
 PSEUDO, WORD_SHARE = 5.0, 0.6
@@ -185,13 +194,16 @@ class WordTable:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         index = self.index
-        missing = sorted(set(words).difference(index))
-        if missing:
+        out = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(out < 0).tolist()
+        if new:
+            missing = sorted({words[i] for i in new})
             if len(index) + len(missing) > MEMO_WORDS and index:
                 self.reset()
                 return self.numbers(words)
             self.add(missing)
-        return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+            out[new] = [index[words[i]] for i in new]
+        return out
 
     def add(self, words: list[bytes]) -> None:
         ids, sizes = encode_words(self.vocabulary, words)
@@ -293,14 +305,16 @@ class AttentionModel:
         number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = np.repeat(offsets[:-1], counts) + number * step
         scored, begun = np.zeros(offsets[-1], dtype=np.float64), np.zeros(offsets[-1], dtype=np.float64)
+        space = Space(min(len(starts), WINDOWS_AT_ONCE) * step)
         for i in range(0, len(starts), WINDOWS_AT_ONCE):
             window = starts[i : i + WINDOWS_AT_ONCE, None] + np.arange(WINDOW)
-            last = window[:, CONTEXT:]
+            last = window[:, CONTEXT:].ravel()
             inputs = rows[window]
             attended = attend(self.tables, inputs, CONTEXT)[0]
-            logits = attended.reshape(-1, SIZE) @ self.weights["mixed"]
-            logits += gather(self.tables["direct"], inputs[:, CONTEXT:].ravel())
-            scored[last.ravel()], begun[last.ravel()] = picked(logits, goals[last.ravel()], self.begins)
+            logits, other = space.p[: len(last)], space.other[: len(last)]
+            np.take(self.tables["direct"], inputs[:, CONTEXT:].ravel(), axis=0, mode="clip", out=logits)
+            logits += np.matmul(attended.reshape(-1, SIZE), self.weights["mixed"], out=other)
+            scored[last], begun[last] = picked(logits, goals[last], self.begins)
         return scored[places] + self.log_share[flat], begun[places]
 
 
@@ -322,23 +336,46 @@ def gather(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def picked(logits: np.ndarray, goals: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log softmax of each row at its goal, and the log of the mass that begins; overwrites ``logits``."""
-    logits -= logits.max(axis=-1, keepdims=True)
     chosen = logits[np.arange(len(goals)), goals]
-    total = np.exp(logits, out=logits).sum(axis=-1)
-    return chosen - np.log(total), np.log(np.maximum(logits @ begins.astype(logits.dtype), 1e-30) / total)
+    if not_safe(logits, chosen):
+        logits -= logits.max(axis=-1, keepdims=True)
+        chosen = logits[np.arange(len(goals)), goals]
+    total, begun = (np.exp(logits, out=logits) @ np.column_stack([np.ones(len(begins)), begins]).astype(logits.dtype)).T
+    return chosen - np.log(total), np.log(np.maximum(begun / total, 1e-30))
+
+
+def not_safe(exponents: np.ndarray, one_of_each_sum: np.ndarray) -> bool:
+    """Whether the largest exponent of each sum has to be taken off; not where all are small and every sum is far from 0."""
+    return exponents.size > 0 and bool(exponents.max() > SAFE or one_of_each_sum.min() < -SAFE)
 
 
 def attend(t: dict[str, np.ndarray], rows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Attention output, unscaled weights and their sums of the places from ``first`` on; a place sees itself and those before."""
-    length = rows.shape[1]
+    return attend_to(t["distance"], gather(t["query"], rows[:, first:]), gather(t["key"], rows), gather(t["value"], rows), first)
+
+
+@cache
+def distances(first: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far each place lies before each place from ``first`` on, and whether it is seen from there."""
     distance = np.arange(first, length)[:, None] - np.arange(length)[None]
-    offset = np.where(distance >= 0, t["distance"][np.clip(distance, 0, WINDOW)], np.float32(-1e9))
-    scores = gather(t["query"], rows[:, first:]) @ gather(t["key"], rows).transpose(0, 2, 1)
+    return distance, distance >= 0
+
+
+def attend_to(
+    by_distance: np.ndarray, query: np.ndarray, key: np.ndarray, value: np.ndarray, first: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``attend`` on the queries of the places from ``first`` on and the keys and values of all."""
+    length = key.shape[1]
+    distance, seen = distances(first, length)
+    offset = np.where(seen, by_distance.take(distance, mode="clip"), np.float32(-1e9))
+    scores = query @ key.transpose(0, 2, 1)
     scores += offset
-    scores -= scores.max(axis=-1, keepdims=True)
+    # A place sees itself.
+    if not_safe(scores, np.diagonal(scores, first, 1, 2)):
+        scores -= scores.max(axis=-1, keepdims=True)
     np.exp(scores, out=scores)
-    total = scores.sum(axis=-1, keepdims=True)
-    return scores @ gather(t["value"], rows) / total, scores, total
+    total = (scores @ np.ones(length, np.float32))[..., None]
+    return scores @ value / total, scores, total
 
 
 def start_weights(direct: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -356,50 +393,164 @@ def start_weights(direct: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def gradients(w: dict[str, np.ndarray], rows: np.ndarray, goals: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean log loss over the real places of a batch of windows."""
-    x, t = w["embed"][rows], tables(w)
-    attended, alpha, total = attend(t, rows, 0)
-    alpha /= total
-    logits = t["direct"][rows] + attended @ w["mixed"]
-    logits -= logits.max(axis=-1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=-1, keepdims=True)
-    np.put_along_axis(p, goals[..., None], np.take_along_axis(p, goals[..., None], -1) - 1, -1)
-    p *= (real / max(real.sum(), 1))[..., None].astype(np.float32)
+class Space:
+    """Arrays that every step of a worker uses again, for up to ``places`` places."""
+
+    def __init__(self, places: int):
+        self.p, self.other = (np.empty((places, CLASSES), np.float32) for _ in range(2))
+        # The last column is 1 throughout: it meets the bias, which follows ``mixed``.
+        self.attended = np.ones((places, SIZE + 1), np.float32)
+
+
+def sums_by_row(values: np.ndarray, order: np.ndarray, firsts: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` over groups that begin at ``firsts`` of ``order``; ``ordered`` is scratch.
+
+    One addition takes the j-th row of all groups that have one; what is long is added up group by group.
+    """
+    np.take(values, order, axis=0, mode="clip", out=ordered)
+    sizes = np.append(firsts[1:], len(order)) - firsts
+    by_size = np.argsort(-sizes)
+    starts, sizes = firsts[by_size], sizes[by_size]
+    longer = (sizes > np.arange(LAYERS + 1)[:, None]).sum(axis=1).tolist()
+    out = ordered[starts]
+    for j in range(1, LAYERS):
+        out[: longer[j]] += ordered[starts[: longer[j]] + j]
+    for i in range(longer[LAYERS]):
+        out[i] += ordered[starts[i] + LAYERS : starts[i] + sizes[i]].sum(axis=0)
+    back = np.empty_like(out)
+    back[by_size] = out
+    return back
+
+
+def row_gradients(
+    w: dict[str, np.ndarray], rows: np.ndarray, goals: np.ndarray, real: np.ndarray, space: Space
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the mean log loss over the real places of a batch of windows; ``embed`` and
+    ``direct`` have those of the input rows that occur, which are named beside them."""
+    places, length = rows.size, rows.shape[1]
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    grads = {"mixed": flat(attended).T @ flat(p), "bias": flat(p).sum(axis=0)}
-    d_attended = p @ w["mixed"].T
-    query, key, value = t["query"][rows], t["key"][rows], t["value"][rows]
-    d_alpha = d_attended @ value.transpose(0, 2, 1)
-    d_value = alpha.transpose(0, 2, 1) @ d_attended
-    d_scores = alpha * (d_alpha - (d_alpha * alpha).sum(axis=-1, keepdims=True))
-    length = rows.shape[1]
-    distance = np.arange(length)[:, None] - np.arange(length)[None]
-    seen = distance >= 0
-    grads["distance"] = np.bincount(distance[seen], weights=d_scores.sum(axis=0)[seen], minlength=WINDOW + 1).astype(np.float32)
-    d_query, d_key = d_scores @ key * np.float32(SIZE**-0.5), d_scores.transpose(0, 2, 1) @ query
-    d_x = np.zeros_like(x)
-    for name, d in (("query", d_query), ("key", d_key), ("value", d_value)):
-        grads[name] = flat(x).T @ flat(d)
-        d_x = d_x + d @ w[name].T
-    order = np.argsort(rows.ravel(), kind="stable")
-    ordered = rows.ravel()[order]
+    at, shape = rows.ravel(), (*rows.shape, SIZE)
+    x, inner = gather(w["embed"], at), np.concatenate([w["query"], w["key"], w["value"]], axis=1)
+    inner[:, :SIZE] *= np.float32(SIZE**-0.5)
+    projected = x @ inner
+    query, key, value = (projected[:, part].reshape(shape) for part in PARTS)
+    attended, alpha, total = attend_to(w["distance"], query, key, value, 0)
+    alpha /= total
+    outputs = space.attended[:places]
+    outputs[:, :SIZE] = flat(attended)
+    # From logits to the gradient at the logits, in place
+    p, other = space.p[:places], space.other[:places]
+    np.take(w["direct"], at, axis=0, mode="clip", out=p)
+    p += np.matmul(outputs, np.vstack([w["mixed"], w["bias"]]), out=other)
+    goal = (np.arange(places), goals.ravel())
+    if not_safe(p, p[goal]):
+        p -= p.max(axis=-1, keepdims=True)
+    np.exp(p, out=p)
+    share = real.ravel() / np.float32(max(real.sum(), 1))
+    p *= (share / (p @ np.ones(CLASSES, np.float32)))[:, None]
+    p[goal] -= share
+    mixed = (p.T @ outputs).T
+    grads = {"mixed": mixed[:SIZE], "bias": mixed[SIZE]}
+    d_attended = (p @ w["mixed"].T).reshape(attended.shape)
+    d_scores = d_attended @ value.transpose(0, 2, 1)
+    d_scores -= np.einsum("bij,bij->bi", d_scores, alpha)[..., None]
+    d_scores *= alpha
+    d_all = np.empty((places, 3 * SIZE), np.float32)
+    d_query, d_key, d_value = (d_all[:, part].reshape(shape) for part in PARTS)
+    np.matmul(d_scores, key, out=d_query)
+    np.matmul(d_scores.transpose(0, 2, 1), query, out=d_key)
+    np.matmul(alpha.transpose(0, 2, 1), d_attended, out=d_value)
+    back, seen = distances(0, length)
+    grads["distance"] = np.bincount(back[seen], weights=d_scores.sum(axis=0)[seen], minlength=WINDOW + 1).astype(np.float32)
+    d_x, d_inner = d_all @ inner.T, x.T @ d_all
+    # ``inner`` holds the queries over the root of SIZE, the keys have seen them so.
+    d_inner[:, :SIZE] *= np.float32(SIZE**-0.5)
+    for name, part in zip(("query", "key", "value"), PARTS):
+        grads[name] = d_inner[:, part]
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    ordered = at[order]
     firsts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    for name, d in (("embed", d_x), ("direct", p)):
-        grads[name] = np.zeros_like(w[name])
-        grads[name][ordered[firsts]] = np.add.reduceat(flat(d)[order], firsts, axis=0)
+    grads["embed"] = np.add.reduceat(d_x[order], firsts, axis=0)
+    grads["direct"] = sums_by_row(p, order, firsts, other)
+    return grads, ordered[firsts]
+
+
+def gradients(w: dict[str, np.ndarray], rows: np.ndarray, goals: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+    """``row_gradients`` in the shapes of ``w``: input rows that do not occur have 0."""
+    grads, occurring = row_gradients(w, rows, goals, real, Space(rows.size))
+    for k in BY_ROW:
+        some, grads[k] = grads[k], np.zeros_like(w[k])
+        grads[k][occurring] = some
     return grads
 
 
 def bounded(w: dict[str, np.ndarray]) -> None:
     """Shorten rows of weights to NORM, so that no product of them leaves the range of a float."""
     for k in ("embed", "query", "key", "value", "mixed"):
-        length = np.sqrt((w[k] * w[k]).sum(axis=1, keepdims=True))
-        if length.max() > NORM:
-            w[k] *= np.minimum(1, NORM / np.maximum(length, 1e-6))
+        # No row is longer than its largest entry times the root of its size.
+        if max(w[k].max(), -w[k].min()) * w[k].shape[1] ** 0.5 > 0.99 * NORM:
+            length = np.sqrt(np.einsum("ij,ij->i", w[k], w[k]))[:, None]
+            if length.max() > NORM:
+                w[k] *= np.minimum(1, NORM / np.maximum(length, 1e-6))
     for k in ("direct", "bias", "distance"):
-        np.clip(w[k], -4 * NORM, 4 * NORM, out=w[k])
+        if max(w[k].max(), -w[k].min()) > 4 * NORM:
+            np.clip(w[k], -4 * NORM, 4 * NORM, out=w[k])
+
+
+def views(vector: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of one vector in the shapes of ``like``, one after the other."""
+    out, at = {}, 0
+    for k, x in like.items():
+        out[k] = vector[at : at + x.size].reshape(x.shape)
+        at += x.size
+    return out
+
+
+class Adam:
+    """The optimizer Adam over weights that lie in one vector, a step in proportion to the rows that occur.
+
+    The mean of the gradients is held over 0.9 ** k, that of their squares over 0.99 ** k, k steps
+    after they were last scaled back. So a gradient of 0 changes neither, and input rows
+    that do not occur in a batch are read only where the weights move.
+    """
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        # What is not held by input row comes first and is one part.
+        w = dict(sorted(w.items(), key=lambda item: item[0] in BY_ROW))
+        self.vector = np.concatenate([x.ravel() for x in w.values()])
+        self.weights = views(self.vector, w)
+        self.mean, self.square, self.root, self.spare = (np.zeros_like(self.vector) for _ in range(4))
+        self.small = [k for k in w if k not in BY_ROW]
+        parts = {"small": np.zeros(sum(w[k].size for k in self.small)), **{k: w[k] for k in BY_ROW}}
+        self.parts = [views(x, parts) for x in (self.mean, self.square, self.root)]
+        self.t = self.k = 0
+
+    def step(self, grads: dict[str, np.ndarray], occurring: np.ndarray, rate: float) -> None:
+        """Clip the gradients together to CLIP and move all weights."""
+        if self.k == RESCALE:
+            for held, factor in ((self.mean, 0.9**self.k), (self.square, 0.99**self.k), (self.root, 0.99 ** (self.k / 2))):
+                held *= np.float32(factor)
+            self.k = 0
+        self.t, self.k = self.t + 1, self.k + 1
+        small = np.concatenate([grads[k].ravel() for k in self.small])
+        found = {"small": (slice(None), small), **{k: (occurring, grads[k]) for k in BY_ROW}}
+        length = np.sqrt(sum(float(np.vdot(g, g)) for _, g in found.values()))
+        shorter = min(1.0, CLIP / max(length, 1e-12))
+        for name, (at, g) in found.items():
+            mean, square, root = (held[name] for held in self.parts)
+            mean[at] += np.float32(0.1 * shorter / 0.9**self.k) * g
+            g *= np.float32(0.1 * shorter / 0.99 ** (self.k / 2))
+            g *= g
+            g += square[at]
+            square[at] = g
+            root[at] = np.sqrt(g, out=g)
+        scale = np.sqrt(0.99**self.k / (1 - 0.99**self.t))
+        rate *= 0.9**self.k / (1 - 0.9**self.t) / scale
+        for i in range(0, len(self.vector), PIECE):
+            moved = np.add(self.root[i : i + PIECE], np.float32(1e-8 / scale), out=self.spare[i : i + PIECE])
+            np.divide(self.mean[i : i + PIECE], moved, out=moved)
+            moved *= np.float32(rate)
+            self.vector[i : i + PIECE] -= moved
 
 
 def train_worker(w: dict[str, np.ndarray], rows: np.ndarray, goals: np.ndarray, real: np.ndarray, rate: float, before: int = 0) -> dict[str, np.ndarray]:
@@ -408,20 +559,12 @@ def train_worker(w: dict[str, np.ndarray], rows: np.ndarray, goals: np.ndarray,
     Gradients are clipped and weights bounded after each step; the rate falls with the steps
     that the worker has made, ``before`` of them earlier.
     """
-    w = {k: v.copy() for k, v in w.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    adam, space = Adam(w), Space(BATCH * rows.shape[1])
     for t, i in enumerate(range(0, len(rows), BATCH), 1):
-        now = np.float32(rate / np.sqrt(1 + (before + t) / SLOW_STEPS))
-        grads = gradients(w, rows[i : i + BATCH], goals[i : i + BATCH], real[i : i + BATCH])
-        length = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
-        shorter = np.float32(min(1.0, CLIP / max(length, 1e-12)))
-        for k, g in grads.items():
-            g *= shorter
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.01 * (g * g - v[k])
-            w[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-        bounded(w)
-    return w
+        grads, occurring = row_gradients(adam.weights, rows[i : i + BATCH], goals[i : i + BATCH], real[i : i + BATCH], space)
+        adam.step(grads, occurring, rate / np.sqrt(1 + (before + t) / SLOW_STEPS))
+        bounded(adam.weights)
+    return adam.weights
 
 
 # ---------------------------------------------------------------- learning

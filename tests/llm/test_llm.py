@@ -487,6 +487,67 @@ def test_training_windows_cover_the_text(docs, empty):
     assert attention_lm.draw_windows(attention_lm.document_columns(empty), attention_lm.JSON_FILE, attention_lm.RANK_FILE).count() == 0
 
 
+def plain_training(w, rows, goals, real, rate, before):
+    """Adam written out over all weights, with gradients in the shapes of the weights."""
+    w = {k: x.copy() for k, x in w.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    size = attention_lm.BATCH
+    for t, i in enumerate(range(0, len(rows), size), 1):
+        now = np.float32(rate / np.sqrt(1 + (before + t) / attention_lm.SLOW_STEPS))
+        grads = attention_lm.gradients(w, rows[i : i + size], goals[i : i + size], real[i : i + size])
+        length = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
+        for k, g in grads.items():
+            g = g * np.float32(min(1.0, attention_lm.CLIP / max(length, 1e-12)))
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.01 * (g * g - v[k])
+            w[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+        attention_lm.bounded(w)
+    return w
+
+
+def test_training_is_adam_over_the_rows_that_occur():
+    """More steps than lie between two scalings; ids as frequent as in text, a short last batch, places that are not real."""
+    r = np.random.default_rng(2)
+    w = attention_lm.start_weights(0.5 * r.standard_normal((attention_lm.INPUTS, attention_lm.CLASSES)).astype(np.float32))
+    n = 32 * 300 + 7
+    rows = np.minimum(r.zipf(1.3, (n, attention_lm.WINDOW)), attention_lm.INPUTS).astype(np.int32) - 1
+    goals = (rows * 7 + 3) % attention_lm.CLASSES
+    real = (r.random(rows.shape) > 0.1).astype(np.float32)
+    ours = attention_lm.train_worker(w, rows, goals, real, 0.01, 50)
+    plain = plain_training(w, rows, goals, real, 0.01, 50)
+    assert list(ours) and set(ours) == set(plain)
+    for k in plain:
+        assert np.abs(ours[k] - plain[k]).max() < 0.005 and np.abs(plain[k] - w[k]).max() > 0.05, k
+    # A step handles the gradients of the input rows that occur in its batch and of no others.
+    grads, occurring = attention_lm.row_gradients(w, rows[:32], goals[:32], real[:32], attention_lm.Space(rows[:32].size))
+    assert occurring.tolist() == sorted(set(rows[:32].ravel().tolist()))
+    assert len(occurring) < attention_lm.INPUTS // 2
+    assert grads["direct"].shape == (len(occurring), attention_lm.CLASSES) and grads["embed"].shape == (len(occurring), attention_lm.SIZE)
+
+
+def test_sums_by_row_of_groups_of_all_sizes():
+    r = np.random.default_rng(3)
+    values = r.standard_normal((500, attention_lm.CLASSES)).astype(np.float32)
+    for at in (np.zeros(500, np.int64), np.arange(500), np.minimum(r.zipf(1.5, 500), 99)):
+        order = np.argsort(at, kind="stable")
+        names, firsts = np.unique(at[order], return_index=True)
+        sums = attention_lm.sums_by_row(values, order, firsts, np.empty_like(values))
+        assert np.allclose(sums, [values[at == k].sum(axis=0) for k in names], atol=1e-4)
+
+
+@pytest.mark.parametrize("shift", [0, 70, -70, 300])
+def test_sums_of_exponents_of_any_size(shift):
+    r = np.random.default_rng(4)
+    logits, goals = (10 * r.standard_normal((50, 128)) + shift).astype(np.float32), r.integers(0, 128, 50)
+    exact = logits.astype(np.float64)
+    exact -= exact.max(axis=1, keepdims=True)
+    total = np.exp(exact).sum(axis=1)
+    share = r.random(128)
+    chosen, begun = attention_lm.picked(logits.copy(), goals, share)
+    assert np.allclose(chosen, exact[np.arange(50), goals] - np.log(total), atol=1e-3)
+    assert np.allclose(begun, np.log(np.exp(exact) @ share / total), atol=1e-3)
+
+
 def test_attention_gradients():
     r = np.random.default_rng(0)
     w = attention_lm.start_weights(0.1 * r.standard_normal((attention_lm.INPUTS, attention_lm.CLASSES)).astype(np.float32))
